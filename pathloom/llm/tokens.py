@@ -22,11 +22,12 @@ class ChunkEncoder:
     pre-tokenizer never joins a non-space character and the space after it: a text may be cut in front of each space
     that follows a non-space character, and a chunk's pieces depend on the chunk alone. Where the pre-tokenizer drops
     white space, any cut in front of a space will do; otherwise a text in which white space stands before a space is
-    encoded whole. At most `most` chunks are kept, so memory does not follow the input. Special tokens in a text are
+    encoded whole. The first `most` chunks, the commonest among them, are kept from one batch to the next and later ones
+    for their batch only, so memory does not follow the input. Special tokens in a text are
     ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,8 +42,6 @@ class ChunkEncoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.most:
-            self.cache.clear()
         cache, split, new = self.cache, [t.split(" ") for t in texts], set()
         ends = []
         for pieces in split:
@@ -51,8 +50,8 @@ class ChunkEncoder:
             new.update(pieces[1:-1])
         new = [p for p in new if p not in cache]
         good = [p for p in new if self.drops_space or p and not p[-1].isspace()]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(good, self.encode_whole([" " + p for p in good])))
+        found = dict.fromkeys(new) | dict(zip(good, self.encode_whole([" " + p for p in good])))
+        cache.update(found)
         ends = self.encode_whole(ends)
         out, odd = [], []
         for i, pieces in enumerate(split):
@@ -67,6 +66,9 @@ class ChunkEncoder:
                 out.append(b"")
         for i, ids in zip(odd, self.encode_whole([texts[i] for i in odd])):
             out[i] = ids
+        if len(cache) > self.most:
+            for p in found:
+                del cache[p]
         return out
 
 
