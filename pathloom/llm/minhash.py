@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ta
                     k = shingles(w, words)
                     c = xxhash.xxh3_128_intdigest(w.tobytes())
                     rows.append((key, np.array([c >> 64, c & (1 << 64) - 1], dtype=U64).astype(np.int64).tolist(), order_minhash(k, labelled(k), tables, minima).astype(np.int64)))
-            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "c1": [r[1][0] for r in rows], "c2": [r[1][1] for r in rows], "sigs": [r[2] for r in rows]}).astype({"doc_id": "int64", "c1": "int64", "c2": "int64"})
+            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "c1": [r[1][0] for r in rows], "c2": [r[1][1] for r in rows], "sigs": pd.Series([r[2] for r in rows], dtype=object)}).astype({"doc_id": "int64", "c1": "int64", "c2": "int64"})
 
     signed = scratch.table(d.where("doc_id is not null and text is not null").mapInPandas(sign, "doc_id long, c1 long, c2 long, sigs array<long>"))
     first = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ta
         return scratch.table(pairs.join(marks_a, "a").join(marks_b, "b").select("a", "b", "ma", "mb").mapInPandas(verify, "a long, b long, linked boolean, far double"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links between a block's documents of different components, from all intersections at once."""
+        """Links that join a block's components, from all intersections at once."""
         one, two = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         pdf = pdf.drop_duplicates("rep").sort_values("rep")
         arrays = [ma(x) for x in pdf["marks"]]
@@ -164,7 +164,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ta
         may = (common >= t * (n[:, None] + n[None, :]) / (1 + t) - 1e-3) & (comp[:, None] != comp[None, :])
         if one != two:
             may &= side[:, None] != side[None, :]
-        out = [(rep[y], rep[x]) for x, y in zip(*np.nonzero(np.triu(may, 1))) if aligned(arrays[x], arrays[y], t)[0]]
+        # a link between two that the block's links already join says nothing new: at most n - 1 links leave a block
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(may, 1))):
+            one_, two_ = find(comp[x]), find(comp[y])
+            if one_ != two_ and aligned(arrays[x], arrays[y], t)[0]:
+                root[max(one_, two_)] = min(one_, two_)
+                out.append((rep[y], rep[x]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     links = None
