@@ -156,10 +156,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def encode(frames):
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, tokens.BatchEncoder)
         for f in frames:
             texts = f["text"].tolist()
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, 8_000_000):
                 part = f["doc_id"].iloc[a:b]
                 shard = np.searchsorted(cuts, part.fillna(-(1 << 63)).astype(np.int64), side="left")
                 out = [tokens.ids(x).astype(f"<u{width}").tobytes() + end for x in enc.encode(texts[a:b])]

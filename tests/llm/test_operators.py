@@ -176,6 +176,20 @@ def test_sum_of_squares_rule():
         assert (after[:10] ** 2).sum() - (before[:10] ** 2).sum() == best[0]
 
 
+def test_batch_encoder_gives_the_ids_of_whole_texts():
+    rng = random.Random(4)
+    parts = ["a", "b", " ", " ", "\n", "\t", "\x1c", "\x85", "1", "'s", ".", "é", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["", " ", "  ", "a ", " a", "a  b", "a\n b c", "one word " * 5000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        for kind in (tokens.ChunkEncoder, tokens.BatchEncoder):
+            e = kind(tokens.public_tokenizer(name), most=50)
+            want = e.encode_whole(texts)
+            assert [x for i in range(0, len(texts), 500) for x in e.encode(texts[i : i + 500])] == want
+            assert [e.encode([t])[0] for t in texts[-300:]] == want[-300:]
+            assert e.encode([]) == []
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 0), (1, 5), (500, 20), (1000, 10**9), (300, 2**40)):
