@@ -127,6 +127,29 @@ def vjp_query(fn, column="path", source=packed):
     return run
 
 
+def vjp_of(inputs, columns, fn, n):
+    """Gradients of the sum of all n outputs of fn with respect to each of the columns that inputs makes."""
+
+    def run(spark, d):
+        ones = inputs(spark, d).withColumn("c", F.array_repeat(F.lit(1.0), n))
+        grads = features.gradient(fn, "c", *columns)
+        return ones.select("key", F.transform(grads, lambda g: F.transform(g, lambda v: F.round(v, 6))).alias("gradient"))
+
+    return run
+
+
+def half_features(one):
+    return lambda spark, d: halves(spark, d).select("key", one("a").alias("a"), one("b").alias("b"))
+
+
+def last_features(one):
+    return lambda spark, d: last_step(spark, d).select("key", one("head").alias("h"), "delta")
+
+
+def path_feature(one):
+    return lambda spark, d: packed(spark, d).select("key", one("path").alias("g"))
+
+
 def augmented(spark, d):
     return paths.time_augment(points(spark, d).select("key", "i", "x0"))
 
@@ -241,6 +264,14 @@ QUERIES = {
     "transform_path_backprop": vjp_query(lambda x: tensor.transform_path(x, True, True)),
     "sig_kernel_backprop": vjp_query(lambda x: kernels.sig_kernel(x, x[:, ::-1], 0, kernels.RBFKernel(2.0)), source=vectors),
     "branched_sig_kernel_backprop": vjp_query(lambda x: kernels.branched_sig_kernel(x, x[:, ::-1], 2), source=vectors),
+    "sig_combine_backprop": vjp_of(half_features(lambda c: features.sig(c, 2)), "ab", lambda a, b: tensor.combine(a, b, 2, 2), 6),
+    "sig_join_backprop": vjp_of(last_features(lambda c: features.sig(c, 2)), ("h", "delta"), lambda h, x: tensor.join(h, x, 2, 2, False), 6),
+    "sig_to_log_sig_backprop": vjp_of(path_feature(lambda c: features.sig(c, 2)), "g", lambda g: tensor.sig_to_log_sig(g, 2, 2, 2), 3),
+    "logsig_to_sig_backprop": vjp_of(path_feature(lambda c: features.log_sig(c, 2, 2)), "g", lambda g: tensor.log_sig_to_sig(g, 2, 2, 2), 6),
+    "log_sig_combine_backprop": vjp_of(half_features(lambda c: features.log_sig(c, 2, 2)), "ab", lambda a, b: tensor.log_combine(a, b, 2, 2, 2), 3),
+    "log_sig_join_backprop": vjp_of(last_features(lambda c: features.log_sig(c, 2, 2)), ("h", "delta"), lambda h, x: tensor.log_join(h, x, 2, 2, 2), 3),
+    "branched_sig_combine_backprop": vjp_of(half_features(lambda c: features.branched_sig(c, 2)), "ab", lambda a, b: branched.combine(a, b, 2, 2), 6),
+    "branched_sig_to_log_sig_backprop": vjp_of(path_feature(lambda c: features.branched_sig(c, 2)), "g", lambda g: branched.to_log(g, 2, 2, False, None), 6),
     **streams(),
 }
 
