@@ -64,6 +64,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
     with nothing; a null vec_id neither (its component is null, and it is kept). Rows of equal vec_id are one vector,
     the smallest of them by (label, embedding). Other columns are ignored; an empty table gives no rows.
 
+    Vectors equal in label and in every component (by two independent 64-bit hashes) form a class, which stands in the
+    search as its smallest vec_id with its size as weight: n copies cost one row there, whatever n is.
     Vectors are joined on label and filter. The number of directions follows the rows, so that a filter holds a few
     dozen vectors of a label. A filter with more is dealt to pairs of blocks of at most about BLOCK, and all its
     cosines are one matrix product there. A pair is counted in the smallest filter that both are in; what leaves a
@@ -71,8 +73,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    one = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
+    first = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
+    one = scratch.table(first.select("*", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")))
     if blocks is None or words is None:
         n = rows.count()
         blocks = 2 if n < 2_000_000 else 3
@@ -82,29 +85,31 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
         codes: dict[int, ProductCode] = {}
         for f in frames:
             kept: dict[int, list] = {}
-            for key, label, e in zip(f["vec_id"], f["label"], f["embedding"]):
+            for at, e in enumerate(f["embedding"]):
                 x = np.asarray(e, dtype=np.float64)
                 norm = np.sqrt(x @ x) if len(x) else 0.0
                 if np.isfinite(norm) and norm > 0:
-                    kept.setdefault(len(x), []).append((key, label, x / norm))
+                    kept.setdefault(len(x), []).append((at, x / norm))
             for dim, got in kept.items():
                 if dim not in codes:
                     codes[dim] = ProductCode(dim, blocks, words, expected)
                 for a in range(0, len(got), 2000):
                     part = got[a : a + 2000]
-                    x = np.stack([g[2] for g in part])
-                    yield pd.DataFrame({"vec_id": [g[0] for g in part], "label": [int(g[1]) for g in part], "dim": dim, "x": [v.tobytes() for v in x], "filters": codes[dim].decode(x, least)})
-
-    sound = one.where("label is not null and embedding is not null and not exists(embedding, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
-    held = scratch.table(sound.mapInPandas(filters, "vec_id long, label long, dim int, x binary, filters array<long>"))
-    slots = held.select("label", "dim", F.explode("filters").alias("f"), "vec_id", "x", "filters")
+                    x = np.stack([v for _, v in part])
+                    named = f[["vec_id", "w", "label", "h1", "h2"]].iloc[[at for at, _ in part]]
+                    yield named.assign(dim=dim, x=[v.tobytes() for v in x], filters=codes[dim].decode(x, least))
+
+    sound = one.withColumn("embedding", F.col("embedding").cast("array<double>")).where("label is not null and embedding is not null and not exists(embedding, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
+    classes = sound.groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("r"), F.count("*").alias("w"))
+    held = scratch.table(classes.select("r.vec_id", "w", "label", "h1", "h2", "r.embedding").mapInPandas(filters, "vec_id long, w long, label long, h1 long, h2 long, dim int, x binary, filters array<long>"))
+    slots = held.select("label", "dim", F.explode("filters").alias("f"), "vec_id", "w", "x", "filters")
     sizes = held.select("label", "dim", F.explode("filters").alias("f")).groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         slots.join(sizes, ["label", "dim", "f"])
         .withColumn("blk", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
         .withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("label", "dim", "f", F.least("blk", "y").alias("i"), F.greatest("blk", "y").alias("j"), "blk", "vec_id", "x", "filters")
+        .select("label", "dim", "f", F.least("blk", "y").alias("i"), F.greatest("blk", "y").alias("j"), "blk", "vec_id", "w", "x", "filters")
     )
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +124,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
         touched = near.any(axis=1)
         if not touched.any():
             return pd.DataFrame({"vec_id": [], "n": [], "root": []}).astype("int64")
-        near, ids = near[touched][:, touched], ids[touched]
+        near, ids, weight = near[touched][:, touched], ids[touched], pdf["w"].to_numpy()[touched]
         lists = pdf["filters"].to_numpy()[touched]
         who = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
         flat = np.concatenate(lists)
@@ -137,15 +142,20 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
             if (low == root).all():
                 break
             root = low
-        return pd.DataFrame({"vec_id": ids, "n": counted.sum(axis=1), "root": ids[root]}).astype("int64")
+        return pd.DataFrame({"vec_id": ids, "n": counted @ weight, "root": ids[root]}).astype("int64")
 
     found = scratch.table(dealt.groupBy("label", "dim", "f", "i", "j").applyInPandas(links, "vec_id long, n long, root long"))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     comps = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
-    out = (
-        one.select("vec_id")
+    found_by_class = (
+        held.select("vec_id", "label", "h1", "h2", "w")
         .join(counts, "vec_id", "left")
         .join(comps.select(F.col("node").alias("vec_id"), F.col("component").alias("component_id")), "vec_id", "left")
+        .select("label", "h1", "h2", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    )
+    out = (
+        one.select("vec_id", "label", "h1", "h2")
+        .join(found_by_class, ["label", "h1", "h2"], "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )

@@ -41,6 +41,7 @@ def test_link_vectors(spark, monkeypatch):
     centres = rng.standard_normal((6, 16))
     rows = [(i, int(i % 2), [float(v) for v in centres[i % 6] + rng.standard_normal(16) * rng.choice([0.01, 0.08, 0.15])]) for i in range(180)]
     rows += [(200, None, [1.0] * 16), (201, 0, None), (202, 0, [0.0] * 16), (203, 0, [1.0, None] * 8), (204, 0, [float("nan")] * 16), (205, 0, []), (206, 0, [2.0] * 3), (207, 0, [1.0] * 3), (None, 0, [1.0] * 16), rows[0]]
+    rows += [(300 + i, *rows[i % 3][1:]) for i in range(40)] + [(400 + i, 0, [0.0] * 16) for i in range(3)]  # copies
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumnsRenamed({}).selectExpr("*", "1 as n", "'x' as f")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.link_vectors(df).collect()}
     assert got.pop(None) == (0, None, True)
