@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,38 @@ class ProductCode:
         return out
 
 
+def starts_of(t: pa.Table, keys: list[str]) -> list[int]:
+    """Where the groups of equal keys of a sorted table start."""
+    new = np.zeros(len(t), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        v = t[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new).tolist()
+
+
+def whole_groups(batches, keys: list[str]):
+    """Tables of whole groups from batches sorted by keys; the last group of a batch waits for the next batch."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not len(t):
+            continue
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        cut = starts_of(t, keys)[-1]
+        if cut:
+            yield fresh(t.slice(0, cut))
+        rest = fresh(t.slice(cut))
+    if rest is not None:
+        yield rest
+
+
+def fresh(t: pa.Table) -> pa.Table:
+    """The rows of a slice in buffers of their own, one chunk a column."""
+    return t.take(pa.array(np.arange(len(t)))).combine_chunks()
+
+
 def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12, least: int = 8, blocks: int | None = None, words: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row for each vec_id.
 
@@ -112,39 +145,55 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
         .select("label", "dim", "f", F.least("blk", "y").alias("i"), F.greatest("blk", "y").alias("j"), "blk", "vec_id", "w", "x", "filters")
     )
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, i, j = int(pdf["f"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("vec_id")
-        ids, x = pdf["vec_id"].to_numpy(), np.stack([np.frombuffer(v) for v in pdf["x"]])
+    keys = ["label", "dim", "f", "i", "j"]
+
+    def links(batches):
+        for t in whole_groups(batches, keys):
+            dim, f, i, j = (t[k].to_numpy() for k in keys[1:])
+            ids, blk, weight = (t[k].to_numpy() for k in ("vec_id", "blk", "w"))
+            ends = starts_of(t, keys) + [len(t)]
+            lists = t["filters"].combine_chunks()
+            x, flat, at = t["x"].combine_chunks().cast(pa.binary()), lists.values.to_numpy(), lists.offsets.to_numpy()
+            data, first = np.frombuffer(x.buffers()[2], dtype=np.float64), np.frombuffer(x.buffers()[1], dtype=np.int32)[x.offset :]
+            out = []
+            for a, b in zip(ends, ends[1:]):
+                block = data[first[a] // 8 : first[b] // 8].reshape(b - a, dim[a])
+                found = block_links(ids[a:b], block, blk[a:b] if i[a] != j[a] else None, weight[a:b], f[a], flat, at[a : b + 1])
+                if found is not None:
+                    out.append(found)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in zip(*out)], ["vec_id", "n", "root"])
+
+    def block_links(ids, x, blk, weight, f, flat, at):
+        """Of the rows with links in a block: ids, weighted counts of the pairs counted here, smallest ids reached."""
         near = x @ x.T >= cosine
         np.fill_diagonal(near, False)
-        if i != j:
-            blk = pdf["blk"].to_numpy()
+        if blk is not None:
             near &= blk[:, None] != blk[None, :]
-        touched = near.any(axis=1)
-        if not touched.any():
-            return pd.DataFrame({"vec_id": [], "n": [], "root": []}).astype("int64")
-        near, ids, weight = near[touched][:, touched], ids[touched], pdf["w"].to_numpy()[touched]
-        lists = pdf["filters"].to_numpy()[touched]
+        touched = np.flatnonzero(near.any(axis=1))
+        if not len(touched):
+            return None
+        near, ids, weight = near[np.ix_(touched, touched)], ids[touched], weight[touched]
+        lists = [flat[at[r] : at[r + 1]] for r in touched]
         who = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-        flat = np.concatenate(lists)
-        smaller = flat < f
+        codes = np.concatenate(lists)
+        smaller = codes < f
+        counted = near
         if smaller.any():
-            values, at = np.unique(flat[smaller], return_inverse=True)
+            values, column = np.unique(codes[smaller], return_inverse=True)
             inside = np.zeros((len(ids), len(values)), dtype=np.float32)
-            inside[who[smaller], at] = 1
+            inside[who[smaller], column] = 1
             counted = near & ~(inside @ inside.T > 0)
-        else:
-            counted = near
         root = np.arange(len(ids))
         while True:
             low = np.minimum(root, np.where(near, root[None, :], len(ids)).min(axis=1))
             if (low == root).all():
                 break
             root = low
-        return pd.DataFrame({"vec_id": ids, "n": counted @ weight, "root": ids[root]}).astype("int64")
+        return ids, counted @ weight, ids[root]
 
-    found = scratch.table(dealt.groupBy("label", "dim", "f", "i", "j").applyInPandas(links, "vec_id long, n long, root long"))
+    grouped = dealt.repartition(*keys).sortWithinPartitions(*keys, "vec_id")
+    found = scratch.table(grouped.mapInArrow(links, "vec_id long, n long, root long"))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     comps = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
     found_by_class = (

@@ -51,6 +51,12 @@ def test_link_vectors(spark, monkeypatch):
     assert found >= 0.99 and all(got[k][0] <= want[k][0] for k in want)
     if found == 1:
         assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups longer than a batch
+    try:
+        again = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.link_vectors(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again.pop(None) == (0, None, True) and again == got
     assert embeddings.link_vectors(df.limit(0)).count() == 0
 
 
