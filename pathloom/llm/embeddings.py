@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Scratch, components
 
@@ -114,6 +115,9 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
         blocks = 2 if n < 2_000_000 else 3
         words = max(16, round((n * expected / 100) ** (1 / blocks)))
 
+    code_type = "int" if words**blocks < 2**31 else "long"
+    stored = np.float32 if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else np.float64
+
     def filters(frames):
         codes: dict[int, ProductCode] = {}
         for f in frames:
@@ -122,24 +126,24 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
                 x = np.asarray(e, dtype=np.float64)
                 norm = np.sqrt(x @ x) if len(x) else 0.0
                 if np.isfinite(norm) and norm > 0:
-                    kept.setdefault(len(x), []).append((at, x / norm))
+                    kept.setdefault(len(x), []).append((at, x / norm, x.astype(stored).tobytes()))
             for dim, got in kept.items():
                 if dim not in codes:
                     codes[dim] = ProductCode(dim, blocks, words, expected)
                 for a in range(0, len(got), 2000):
                     part = got[a : a + 2000]
-                    x = np.stack([v for _, v in part])
-                    named = f[["vec_id", "w", "label", "h1", "h2"]].iloc[[at for at, _ in part]]
-                    yield named.assign(dim=dim, x=[v.tobytes() for v in x], filters=codes[dim].decode(x, least))
+                    named = f[["vec_id", "w", "label", "h1", "h2"]].iloc[[at for at, _, _ in part]]
+                    yield named.assign(dim=dim, x=[raw for _, _, raw in part], filters=codes[dim].decode(np.stack([v for _, v, _ in part]), least))
 
     sound = one.withColumn("embedding", F.col("embedding").cast("array<double>")).where("label is not null and embedding is not null and not exists(embedding, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
     classes = sound.groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("r"), F.count("*").alias("w"))
-    held = scratch.table(classes.select("r.vec_id", "w", "label", "h1", "h2", "r.embedding").mapInPandas(filters, "vec_id long, w long, label long, h1 long, h2 long, dim int, x binary, filters array<long>"))
+    held = scratch.table(classes.select("r.vec_id", "w", "label", "h1", "h2", "r.embedding").mapInPandas(filters, f"vec_id long, w long, label long, h1 long, h2 long, dim int, x binary, filters array<{code_type}>"))
     slots = held.select("label", "dim", F.explode("filters").alias("f"), "vec_id", "w", "x", "filters")
-    sizes = held.select("label", "dim", F.explode("filters").alias("f")).groupBy("label", "dim", "f").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = held.select("label", "dim", F.explode("filters").alias("f")).groupBy("label", "dim", "f").agg(F.count("*").alias("n"))
+    large = scratch.table(sizes.where(F.col("n") > BLOCK))  # a written table, so that Spark knows its size and broadcasts it only if small
+    parts = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
     dealt = (
-        slots.join(sizes, ["label", "dim", "f"])
+        slots.join(large, ["label", "dim", "f"], "left")
         .withColumn("blk", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
         .withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("label", "dim", "f", F.least("blk", "y").alias("i"), F.greatest("blk", "y").alias("j"), "blk", "vec_id", "w", "x", "filters")
@@ -154,10 +158,13 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
             ends = starts_of(t, keys) + [len(t)]
             lists = t["filters"].combine_chunks()
             x, flat, at = t["x"].combine_chunks().cast(pa.binary()), lists.values.to_numpy(), lists.offsets.to_numpy()
-            data, first = np.frombuffer(x.buffers()[2], dtype=np.float64), np.frombuffer(x.buffers()[1], dtype=np.int32)[x.offset :]
+            data, first = np.frombuffer(x.buffers()[2], dtype=stored), np.frombuffer(x.buffers()[1], dtype=np.int32)[x.offset :]
             out = []
             for a, b in zip(ends, ends[1:]):
-                block = data[first[a] // 8 : first[b] // 8].reshape(b - a, dim[a])
+                if b - a < 2:
+                    continue
+                block = data[first[a] // data.itemsize : first[b] // data.itemsize].reshape(b - a, dim[a]).astype(np.float64)
+                block /= np.sqrt(np.einsum("ij,ij->i", block, block))[:, None]
                 found = block_links(ids[a:b], block, blk[a:b] if i[a] != j[a] else None, weight[a:b], f[a], flat, at[a : b + 1])
                 if found is not None:
                     out.append(found)

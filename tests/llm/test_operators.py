@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from pathloom.llm import decontam, embeddings, idfiles, lines, minhash, packing, pii, secrets, sharding, tokens, toxicity
@@ -57,6 +58,10 @@ def test_link_vectors(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert again.pop(None) == (0, None, True) and again == got
+    single = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    exact = brute([(*r[:2], r[2] and [None if v is None else float(np.float32(v)) for v in r[2]]) for r in rows], 0.98)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.link_vectors(single).where("vec_id is not null").collect()}
+    assert got.keys() == exact.keys() and sum(v[0] for v in got.values()) >= 0.99 * sum(v[0] for v in exact.values())
     assert embeddings.link_vectors(df.limit(0)).count() == 0
 
 
