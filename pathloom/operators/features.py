@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import branched, tape, tensor, words
+from ..functions import branched, tape, tensor, trees, words
 
 
 def batched(fn, columns) -> list:
@@ -75,17 +75,22 @@ def sig(path="path", degree: int = 2, time_aug=False, lead_lag=False, end_time=1
     return vector(fn, path)
 
 
-def log_sig(path="path", degree: int = 2, method: int = 1, time_aug=False, lead_lag=False, end_time=1.0, correction=None) -> Column:
+def log_sig(path="path", degree: int = 2, method: int = 1, time_aug=False, lead_lag=False, end_time=1.0, scalar_term=False, correction=None) -> Column:
+    """Log-signature column. The scalar term of a log-signature is 0 and belongs to the expanded form (method 0)."""
+    if scalar_term and method != 0:
+        raise ValueError("only the expanded form has a scalar term")
+
     def fn(x):
         x = tensor.transform_path(x, time_aug, lead_lag, end_time)
         guard(x.shape[2], degree)
-        return tensor.log_sig(x, degree, method, correction)
+        out = tensor.log_sig(x, degree, method, correction)
+        return np.concatenate([np.zeros((len(out), 1)), out], axis=1) if scalar_term else out
 
     return vector(fn, path)
 
 
-def sig_coef(path, word_list, prefixes=False) -> Column:
-    return vector(lambda x: tensor.coefficients(x, word_list, prefixes), path)
+def sig_coef(path, word_list, prefixes=False, time_aug=False, lead_lag=False, end_time=1.0) -> Column:
+    return vector(lambda x: tensor.coefficients(tensor.transform_path(x, time_aug, lead_lag, end_time), word_list, prefixes), path)
 
 
 def extract_sig_coef(column: str, word_list, dimension: int, scalar_term: bool = False) -> list[Column]:
@@ -115,6 +120,18 @@ def log_sig_combine(a, b, dimension, degree, method=2) -> Column:
     return vector(lambda x, y: tensor.log_combine(x, y, dimension, degree, method), a, b)
 
 
+def log_sig_reduce(column, dimension, degree, method=2) -> Column:
+    """The log-signature of a concatenation, from the array of its parts' log-signatures in order."""
+
+    def fn(x):
+        out = x[:, 0]
+        for k in range(1, x.shape[1]):
+            out = tensor.log_combine(out, x[:, k], dimension, degree, method)
+        return out
+
+    return vector(fn, column)
+
+
 def log_sig_join(s, delta, dimension, degree, method=2) -> Column:
     return vector(lambda x, y: tensor.log_join(x, y, dimension, degree, method), s, delta)
 
@@ -127,8 +144,14 @@ def linear_log_sig(delta, degree, method=1) -> Column:
     return vector(lambda x: tensor.linear_log_sig(x, degree, method), delta)
 
 
-def branched_sig(path="path", degree=2, planar=False, time_aug=False, lead_lag=False, correction=None) -> Column:
-    return vector(lambda x: branched.sig(tensor.transform_path(x, time_aug, lead_lag), degree, planar, correction), path)
+def branched_sig(path="path", degree=2, planar=False, time_aug=False, lead_lag=False, end_time=1.0, scalar_term=False, correction=None) -> Column:
+    return vector(lambda x: scalar(branched.sig(tensor.transform_path(x, time_aug, lead_lag, end_time), degree, planar, correction), scalar_term), path)
+
+
+def extract_branched_sig_coef(column: str, elements, dimension: int, degree: int, planar: bool = False, scalar_term: bool = False) -> list[Column]:
+    """Coordinates of a computed branched signature, named e0, e1, ...: no Python. The empty element is 1."""
+    place = trees.forest_to_idx if planar else trees.tree_to_idx
+    return [(F.element_at(column, place(e, dimension, degree) + 1 + scalar_term) if e else F.lit(1.0)).alias(f"e{k}") for k, e in enumerate(elements)]
 
 
 def branched_sig_combine(a, b, dimension, degree, planar=False) -> Column:
@@ -139,12 +162,12 @@ def branched_sig_join(s, delta, dimension, degree, planar=False, prepend=False)
     return vector(lambda x, y: branched.join(x, y, dimension, degree, planar, prepend), s, delta)
 
 
-def branched_sig_coef(path, elements, planar=False) -> Column:
-    return vector(lambda x: branched.coefficients(x, elements, planar), path)
+def branched_sig_coef(path, elements, planar=False, time_aug=False, lead_lag=False, end_time=1.0, correction=None) -> Column:
+    return vector(lambda x: branched.coefficients(tensor.transform_path(x, time_aug, lead_lag, end_time), elements, planar, correction), path)
 
 
-def branched_log_sig(path="path", degree=2, planar=False, method=None) -> Column:
-    return vector(lambda x: branched.log_sig(x, degree, planar, method), path)
+def branched_log_sig(path="path", degree=2, planar=False, method=None, time_aug=False, lead_lag=False, end_time=1.0, correction=None) -> Column:
+    return vector(lambda x: branched.log_sig(tensor.transform_path(x, time_aug, lead_lag, end_time), degree, planar, method, correction), path)
 
 
 def branched_sig_to_log_sig(s, dimension, degree, planar=False, method=None) -> Column:

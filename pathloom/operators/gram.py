@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import kernels
-from .features import batched
+from ..functions import kernels, tensor
+from .features import batched, gradient
 
 
 def kernel(fn, a: str = "pa", b: str = "pb") -> Column:
@@ -21,12 +21,14 @@ def kernel(fn, a: str = "pa", b: str = "pb") -> Column:
     return run(a, b)
 
 
-def sig_kernel(a="pa", b="pb", **how) -> Column:
-    return kernel(lambda x, y: kernels.sig_kernel(x, y, **how), a, b)
+def sig_kernel(a="pa", b="pb", *, time_aug=False, lead_lag=False, end_time=1.0, **how) -> Column:
+    lift = lambda x: tensor.transform_path(x, time_aug, lead_lag, end_time)
+    return kernel(lambda x, y: kernels.sig_kernel(lift(x), lift(y), **how), a, b)
 
 
-def branched_sig_kernel(a="pa", b="pb", *, depth: int, **how) -> Column:
-    return kernel(lambda x, y: kernels.branched_sig_kernel(x, y, depth, **how), a, b)
+def branched_sig_kernel(a="pa", b="pb", *, depth: int, time_aug=False, lead_lag=False, end_time=1.0, **how) -> Column:
+    lift = lambda x: tensor.transform_path(x, time_aug, lead_lag, end_time)
+    return kernel(lambda x, y: kernels.branched_sig_kernel(lift(x), lift(y), depth, **how), a, b)
 
 
 def pairs(left: DataFrame, right: DataFrame | None = None, blocks: int = 16) -> DataFrame:
@@ -54,6 +56,20 @@ def gram(k: Column, left: DataFrame, right: DataFrame | None = None, blocks: int
     return mirror(out) if right is None else out
 
 
+def gradients(fn, left: DataFrame, right: DataFrame, weights: DataFrame | None = None, blocks: int = 16) -> DataFrame:
+    """(i, gradient): of the sum over all pairs of weight * fn(x_i, y_j) with respect to x_i, flattened.
+
+    weights is (i, j, w), every weight 1 without it. A pair's gradient is made where the pair is and added up per
+    coordinate, with partial sums before the shuffle, so no task holds a row of the matrix.
+    """
+    ab = pairs(left, right, blocks)
+    ab = ab.withColumn("w", F.lit(1.0)) if weights is None else ab.join(weights, ["i", "j"])
+    g = gradient(lambda x, y: fn(x, y).reshape(-1, 1), "c", "pa", "pb")
+    each = ab.withColumn("c", F.array("w")).select("i", F.element_at(g, 1).alias("g"))
+    sums = each.select("i", F.posexplode("g").alias("pos", "v")).groupBy("i", "pos").agg(F.sum("v").alias("v"))
+    return sums.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("gradient"))
+
+
 def normalized(g: DataFrame) -> DataFrame:
     """k / sqrt(k_ii k_jj), NaN where that product is not positive; g is one sample's matrix."""
     diagonal = g.where("i = j").select("i", F.col("k").alias("d"))

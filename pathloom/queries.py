@@ -23,12 +23,12 @@ W2 = words.words(2, 2)
 NAMES = [cascade.name(w) for w in W2]
 
 
-def rounded(df, columns, keys=("key",)):
-    return df.select(*keys, *[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) for c in columns])
+def rounded(df, columns, keys=("key",), digits=6):
+    return df.select(*keys, *[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) for c in columns])
 
 
-def spread(df, column, names, keys=("key",)):
-    return df.select(*keys, *[(F.round(F.element_at(column, i + 1), 6) + F.lit(0.0)).alias(n) for i, n in enumerate(names)])
+def spread(df, column, names, keys=("key",), digits=6):
+    return df.select(*keys, *[(F.round(F.element_at(column, i + 1), digits) + F.lit(0.0)).alias(n) for i, n in enumerate(names)])
 
 
 def pick(expr: dict[str, str], source="s", keys="key") -> str:
@@ -164,37 +164,6 @@ def window_query(feature, names, window=16, stride=8):
     return lambda spark, d: spread(frames.window_features(points(spark, d), window, stride, feature), "s", names, ("key", "win"))
 
 
-def stream_query(make, window=None):
-    """A stream class over each user's path."""
-
-    def run(spark, d):
-        def fn(x):
-            s = make()
-            s.push_batch(x[:, :1])
-            s.push_batch(x[:, 1:])
-            out = s.sig(0, len(s) - 1) if window is None else s.sig()[-1]
-            return out.reshape(len(x), -1)
-
-        return packed(spark, d).select("key", F.transform(features.vector(fn, "path"), lambda v: F.round(v, 6)).alias("s"))
-
-    return run
-
-
-def streams():
-    from .streaming import state as st
-
-    return {
-        "stream_sig": stream_query(lambda: st.SigStream(2, 3)),
-        "stream_log_sig": stream_query(lambda: st.LogSigStream(2, 3)),
-        "stream_branched_sig": stream_query(lambda: st.BranchedSigStream(2, 3)),
-        "stream_branched_log_sig": stream_query(lambda: st.BranchedLogSigStream(2, 3, True)),
-        "stream_sig_window": stream_query(lambda: st.SigWindowStream(2, 3, 16, 8), 16),
-        "stream_log_sig_window": stream_query(lambda: st.LogSigWindowStream(2, 3, 16, 8), 16),
-        "stream_branched_sig_window": stream_query(lambda: st.BranchedSigWindowStream(2, 3, 16, 8), 16),
-        "stream_branched_log_sig_window": stream_query(lambda: st.BranchedLogSigWindowStream(2, 3, 16, 8, True), 16),
-    }
-
-
 CHAIN_NAMES = ["t0", "t1", "t00", "t01", "t10", "t11"]
 QUERIES = {
     "sig_words": lambda spark, d: rounded(cascade.coefficients(points(spark, d), W2, prefixes=True), NAMES),
@@ -255,10 +224,8 @@ QUERIES = {
     "branched_sig_score": metric("score", branched_kernel),
     "expected_branched_sig_score": metric("expected", branched_kernel),
     "branched_sig_mmd": metric("mmd", branched_kernel),
-    "sig_backprop_degree1": vjp_query(lambda x: tensor.sig(x, 1)),
     "sig_backprop": vjp_query(lambda x: tensor.sig(x, 3)),
     "log_sig_backprop": vjp_query(lambda x: tensor.log_sig(x, 3, 2)),
-    "sig_coef_backprop": vjp_query(lambda x: tensor.coefficients(x, [(0, 1)])),
     "branched_sig_backprop": vjp_query(lambda x: branched.sig(x, 2)),
     "branched_log_sig_backprop": vjp_query(lambda x: branched.log_sig(x, 2, True, 1)),
     "transform_path_backprop": vjp_query(lambda x: tensor.transform_path(x, True, True)),
@@ -272,7 +239,6 @@ QUERIES = {
     "log_sig_join_backprop": vjp_of(last_features(lambda c: features.log_sig(c, 2, 2)), ("h", "delta"), lambda h, x: tensor.log_join(h, x, 2, 2, 2), 3),
     "branched_sig_combine_backprop": vjp_of(half_features(lambda c: features.branched_sig(c, 2)), "ab", lambda a, b: branched.combine(a, b, 2, 2), 6),
     "branched_sig_to_log_sig_backprop": vjp_of(path_feature(lambda c: features.branched_sig(c, 2)), "g", lambda g: branched.to_log(g, 2, 2, False, None), 6),
-    **streams(),
 }
 
 _PRE = f"""with {POINTS}, r as (select key, i, sum(d0) over w as s0, sum(d1) over w as s1, sum(b0 * d0 + d0 * d0 / 2) over w as s00,

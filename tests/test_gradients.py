@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pathloom import queries
+from pathloom import options, queries
 from pathloom.functions import branched, tensor
 
 SF = "/root/testdata/sf0.001"
@@ -15,6 +15,12 @@ CASES = {
     "log_sig_combine_backprop": (queries.half_features(lambda c: queries.features.log_sig(c, 2, 2)), "ab", lambda a, b: tensor.log_combine(a, b, 2, 2, 2)),
     "log_sig_join_backprop": (queries.last_features(lambda c: queries.features.log_sig(c, 2, 2)), ("h", "delta"), lambda h, x: tensor.log_join(h, x, 2, 2, 2)),
     "branched_sig_combine_backprop": (queries.half_features(lambda c: queries.features.branched_sig(c, 2)), "ab", lambda a, b: branched.combine(a, b, 2, 2)),
+    "sig_join_prepend_backprop": (queries.last_features(lambda c: queries.features.sig(c, 2)), ("h", "delta"), lambda h, x: tensor.join(h, x, 2, 2, True)),
+    "branched_sig_join_backprop": (queries.last_features(lambda c: queries.features.branched_sig(c, 2)), ("h", "delta"), lambda h, x: branched.join(h, x, 2, 2)),
+    "branched_log_sig_join_backprop": (queries.last_features(lambda c: queries.features.branched_log_sig(c, 2, True, 2)), ("h", "delta"), lambda h, x: branched.log_join(h, x, 2, 2)),
+    "linear_log_sig_backprop": (queries.last_step, ("delta",), lambda x: tensor.linear_log_sig(x, 2)),
+    "linear_branched_sig_backprop": (queries.last_step, ("delta",), lambda x: branched.linear(x, 2)),
+    "linear_branched_log_sig_backprop": (queries.last_step, ("delta",), lambda x: branched.linear_log(x, 2)),
     "branched_sig_to_log_sig_backprop": (queries.path_feature(lambda c: queries.features.branched_sig(c, 2)), "g", lambda g: branched.to_log(g, 2, 2, False, None)),
 }
 
@@ -22,7 +28,7 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_gradient(spark, name):
     inputs, columns, fn = CASES[name]
-    got = {r.key: r.gradient for r in queries.QUERIES[name](spark, SF).collect()}
+    got = {r.key: r.gradient for r in (queries.QUERIES | options.QUERIES)[name](spark, SF).collect()}
     rows = inputs(spark, SF).collect()
     assert len(got) == len(rows) > 0
     for r in rows[:3]:
