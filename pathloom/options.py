@@ -22,6 +22,7 @@ EVENTS = """select user_id as key, row_number() over (partition by user_id order
 TIMED = f"select key, i, x0, i * 1.0 / (n - 1) as x1 from ({EVENTS})"
 LEAD_LAG = f"""select key, 2 * i as i, x0, x0 as x1 from ({EVENTS}) union all
  select key, 2 * i + 1, x0, nx as x1 from (select *, lead(x0) over (partition by key order by i) as nx from ({EVENTS})) where nx is not null"""
+_QUARTER = f"select key, i, x0, x1 from ({EVENTS}) where i >= n // 4 and i <= n // 2"
 LAST_WINDOW = f"select key, i, x0, x1 from ({EVENTS}) where n >= 16 and i >= (n - 16) // 8 * 8 and i < (n - 16) // 8 * 8 + 16"
 
 
@@ -189,13 +190,13 @@ def matrix_gradient(fn):
     def run(spark, d):
         v = corners(spark, d)
         g = gram.gradients(fn, v.where("label = 0"), v.where("label = 1"))
-        return g.select("i", F.transform("gradient", lambda x: F.round(x, 6)).alias("gradient"))
+        return g.select("i", F.posexplode("gradient").alias("pos", "g")).select("i", "pos", (F.round("g", 6) + F.lit(0.0)).alias("g"))
 
     return run
 
 
 _DEPTH1_GRADIENT = f"""{_DEPTH1}, s as (select g.i, sum(k * (y.u0 + y.v0)) as a, sum(k * (y.u1 + y.v1)) as b from g join e y on y.key = g.j where lx = 0 and ly = 1 group by g.i)
- select i, [round(-a, 6) + 0.0, round(-b, 6) + 0.0, 0.0, 0.0, round(a, 6) + 0.0, round(b, 6) + 0.0] as gradient from s"""
+ select i, unnest(range(6))::int as pos, unnest([round(-a, 6) + 0.0, round(-b, 6) + 0.0, 0.0, 0.0, round(a, 6) + 0.0, round(b, 6) + 0.0]) as g from s"""
 
 
 def lengths(spark, d):
@@ -285,6 +286,9 @@ ORACLE_SQL = {
     "sig_backprop_degree1": f"with p as ({EVENTS}) select key, i, case when i = 0 then -1.0 when i = n - 1 then 1.0 else 0.0 end::double as g0, case when i = 0 then -1.0 when i = n - 1 then 1.0 else 0.0 end::double as g1 from p",
     **{n: _COEF_GRADIENT for n in ("sig_coef_backprop", "branched_sig_coef_backprop")},
     "branched_sig_kernel_gram_backprop": _DEPTH1_GRADIENT,
+    "interval_sig": f"""{integrals(_QUARTER)} select key, a, b, {", ".join(f"round({n}, 6) + 0.0 as {n}" for n in core.NAMES)} from s
+ join (select user_id as key, count(*) // 4 as a, count(*) // 2 as b from events group by user_id) using (key)""",
+    "linear_branched_log_sig": core._STEP + " select key, round(s0, 6) + 0.0 as t0, round(s1, 6) + 0.0 as t1, 0.0::double as t00, 0.0::double as t01, 0.0::double as t10, 0.0::double as t11 from e",
     "lyndon_words_table": """with recursive w(level, word) as (select 0, '' union all select level + 1, word || x from w, (select unnest(['0', '1']) as x) where level < 6),
  l as (select level, word from w where level > 0 and not exists (select 1 from unnest(range(1, level)) as t(k) where word[t.k + 1 :] <= word))
  select row_number() over (order by level, word) - 1 as idx, level, array_to_string(string_split(word, ''), ',') as word from l""",
