@@ -3,37 +3,74 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import branched, tape, tensor, trees, words
 
 
-def batched(fn, columns) -> list:
-    """fn on stacks of rows of equal shapes; None where an input is null or holds a null."""
-    out, groups = [None] * len(columns[0]), {}
-    for i, row in enumerate(zip(*columns)):
-        try:
-            arrays = [None if x is None else np.array([list(p) for p in x] if len(x) and isinstance(x[0], (np.ndarray, list)) else list(x), dtype=float) for x in row]
-        except (TypeError, ValueError):
-            continue
-        if all(a is not None for a in arrays) and not any(x is None for x in row):
-            groups.setdefault(tuple(a.shape for a in arrays), []).append((i, arrays))
-    for rows in groups.values():
-        got = fn(*[np.stack([a[k] for _, a in rows]) for k in range(len(columns))])
-        for (i, _), v in zip(rows, got):
-            out[i] = v
-    return out
+def layout(column: pa.Array):
+    """Of a column of arrays, or of arrays of arrays: whether each row is sound (no null in it, rows of one length, and
+    not an empty array of arrays, whose width nobody knows), each row's shape, its first value's place, and all values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends, good = column.offsets.to_numpy() if len(column) else np.zeros(1, dtype=np.int64), column.is_valid().to_numpy(zero_copy_only=False)
+    count, values = np.diff(ends), column.values
+    shape = [count]
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        inner, known = values.offsets.to_numpy() if len(values) else np.zeros(1, dtype=np.int64), values.is_valid().to_numpy(zero_copy_only=False)
+        width = np.diff(inner)
+        first = np.minimum(ends[:-1], max(len(width) - 1, 0))
+        odd = np.zeros(len(width) + 1, dtype=np.int64)  # how many earlier rows are null or differ in width from the one before
+        odd[1:] = np.cumsum(~known)
+        turns = np.zeros(len(width) + 1, dtype=np.int64)
+        turns[2:] = np.cumsum(width[1:] != width[:-1])
+        good &= (count > 0) & (odd[ends[1:]] == odd[ends[:-1]]) & (turns[ends[1:]] == turns[np.minimum(ends[:-1] + 1, len(width))])
+        shape.append(np.where(good, width[first], 0) if len(width) else count)
+        ends, values = inner[ends], values.values
+    missing = np.zeros(len(values) + 1, dtype=np.int64)
+    missing[1:] = np.cumsum(values.is_null().to_numpy(zero_copy_only=False))
+    good &= missing[ends[1:]] == missing[ends[:-1]]
+    return good, np.stack(shape, axis=1), ends[:-1], values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
+def stacks(columns):
+    """(rows, [stack, ...]) for each combination of shapes among the rows that are sound in every column."""
+    found = [layout(c) for c in columns]
+    rows = np.flatnonzero(np.logical_and.reduce([f[0] for f in found]))
+    if not len(rows):
+        return
+    shapes = np.concatenate([f[1][rows] for f in found], axis=1)
+    kinds, which = np.unique(shapes, axis=0, return_inverse=True)
+    for k in range(len(kinds)):
+        at = rows[which.ravel() == k]
+        out = []
+        for _, shape, first, values in found:
+            one = tuple(shape[at[0]])
+            out.append(values[first[at][:, None] + np.arange(np.prod(one, dtype=np.int64))].reshape(len(at), *one))
+        yield at, out
+
+
+def lists(n: int, parts) -> pa.Array:
+    """n lists of numbers from (rows, matrix) parts; null where no part has the row."""
+    length, null = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for at, m in parts:
+        length[at], null[at] = m.shape[1], False
+    ends = np.concatenate([[0], np.cumsum(length)])
+    values = np.empty(ends[-1])
+    for at, m in parts:
+        values[ends[at][:, None] + np.arange(m.shape[1])] = m
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array(null))
 
 
 def vector(fn, *columns) -> Column:
-    """fn: batches of arrays (one for each column) -> (batch, coordinates). An array<double> column."""
+    """fn: batches of arrays (one for each column) -> (batch, coordinates). An array<double> column, null where an input
+    is null, empty where it should be a path, ragged, or holds a null."""
 
-    @pandas_udf("array<double>")
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else np.asarray(v, dtype=float) for v in batched(fn, series)])
+    @arrow_udf("array<double>")
+    def run(*arrays: pa.Array) -> pa.Array:
+        return lists(len(arrays[0]), [(at, np.asarray(fn(*x), dtype=float).reshape(len(at), -1)) for at, x in stacks(arrays)])
 
     return run(*columns)
 
@@ -41,13 +78,14 @@ def vector(fn, *columns) -> Column:
 def gradient(fn, cotangent: str, *columns: str) -> Column:
     """The vector-Jacobian product of fn: array<array<double>>, a flattened gradient for each input."""
 
-    @pandas_udf("array<array<double>>")
-    def run(c: pd.Series, *series: pd.Series) -> pd.Series:
-        def back(cot, *inputs):
-            g = tape.vjp(fn, inputs, cot)
-            return [[x[i].ravel() for x in g] for i in range(len(cot))]
-
-        return pd.Series(batched(back, [c, *series]))
+    @arrow_udf("array<array<double>>")
+    def run(c: pa.Array, *arrays: pa.Array) -> pa.Array:
+        out = [None] * len(c)
+        for at, (cot, *inputs) in stacks([c, *arrays]):
+            got = [g.reshape(len(at), -1).tolist() for g in tape.vjp(fn, inputs, cot)]
+            for r, row in zip(at, zip(*got)):
+                out[r] = list(row)
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
 
     return run(cotangent, *columns)
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import kernels, tensor
-from .features import batched, gradient
+from .features import gradient, stacks
 
 
 def kernel(fn, a: str = "pa", b: str = "pb") -> Column:
     """fn(x, y) on batches of pairs of equal lengths -> one value a pair."""
 
-    @pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else float(v) for v in batched(fn, [x, y])], dtype="float64")
+    @arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out, null = np.zeros(len(x)), np.ones(len(x), dtype=bool)
+        for at, pair in stacks([x, y]):
+            out[at], null[at] = fn(*pair), False
+        return pa.array(out, mask=null)
 
     return run(a, b)
 

@@ -6,12 +6,14 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import tensor
+from ..functions.words import sig_length, words
 from ..operators import cascade, features, paths
 from . import state
 
@@ -21,22 +23,23 @@ def prefix_table(points: DataFrame, degree: int) -> DataFrame:
     xs = paths.channels(points)
     d = len(xs)
     if degree <= 2:
-        from ..functions.words import words
-
         w = words(d, degree)
         return cascade.running(points, w).select("key", "i", F.array(*[cascade.name(x) for x in w]).alias("s"))
 
-    @pandas_udf("array<array<double>>")
-    def run(p: pd.Series) -> pd.Series:
-        def prefixes(x):
-            s, out = tensor.levels(tensor.zeros(len(x), d, degree), d, degree), []
+    def prefixes(x):
+        s, out = tensor.levels(tensor.zeros(len(x), d, degree), d, degree), []
+        out.append(np.concatenate(s, axis=1))
+        for k in range(x.shape[1] - 1):
+            s = tensor.step(s, x[:, k + 1] - x[:, k])
             out.append(np.concatenate(s, axis=1))
-            for k in range(x.shape[1] - 1):
-                s = tensor.step(s, x[:, k + 1] - x[:, k])
-                out.append(np.concatenate(s, axis=1))
-            return [list(v) for v in np.stack(out, axis=1)]
-
-        return pd.Series(features.batched(prefixes, [p]))
+        return np.stack(out, axis=1)
+
+    @arrow_udf("array<array<double>>")
+    def run(p: pa.Array) -> pa.Array:
+        size = sig_length(d, degree)
+        flat = features.lists(len(p), [(at, prefixes(x).reshape(len(at), -1)) for at, (x,) in features.stacks([p])])
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat.values) + 1, size), pa.int32()), flat.values)
+        return pa.ListArray.from_arrays(pa.array(flat.offsets.to_numpy() // size, pa.int32()), rows, mask=flat.is_null())
 
     return paths.pack(points).select("key", F.posexplode(run("path")).alias("i", "s"))
 

@@ -77,3 +77,15 @@ def test_extract_forests(spark):
     got = df.select(*features.extract_branched_sig_coef("b", [basis[3], (), basis[0]], 2, 2, True, True)).first()
     want = branched.sig(x, 2, True)[0]
     assert np.allclose(list(got), [want[3], 1.0, want[0]])
+
+
+def test_batches_of_odd_rows(spark):
+    """Null, empty and ragged paths, nulls within, and single points, in one batch and alone."""
+    rows = [([[0.0, 0.0], [1.0, 2.0], [3.0, 1.0]],), (None,), ([],), ([[0.0, None], [1.0, 2.0]],), ([[0.0, 0.0], None],), ([[0.0, 0.0], [1.0]],), ([[4.0, 5.0]],), ([[0.0], [2.0]],)]
+    want = [[3.0, 1.0, 4.5, -1.0, 4.0, 0.5], None, None, None, None, None, [0.0] * 6, [2.0, 2.0]]
+    schema = "k int, path array<array<double>>"
+    for some in (range(len(rows)), *[[k] for k in range(len(rows))]):
+        df = spark.createDataFrame([(k, *rows[k]) for k in some], schema).coalesce(1)
+        got = {r.k: r.s for r in df.select("k", features.sig("path", 2).alias("s")).collect()}
+        assert got == {k: want[k] for k in some}
+    assert spark.createDataFrame([], schema).select(features.sig("path", 2)).count() == 0
