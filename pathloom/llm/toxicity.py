@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"\w+(?:[*@$!'’]\w+)*")
+#: No word holds an underscore, so a raw token whose EDGES are stripped down to letters and digits is the word TOKEN finds in it.
+TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
 QUOTES = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
 #: Words that announce a quotation or a mention, in the corpus' languages.
 CUES = frozenset("said says wrote quoted called word term disait écrit mot terme sagte schrieb wort begriff dijo escribió palabra término".split())
@@ -187,6 +188,8 @@ class Scorer:
                 mention = i - cue <= 3 or q < len(quoted) and quoted[q][0] <= m.start()
                 weight = self.model.weights.get(near[w], 0.0)
                 hits.append((i, weight * (0.25 if mention else 1.0), mention))
+        if not hits:
+            return None
         best, total, first = 0.0, 0.0, 0
         run = 0.0
         for at, w, _ in hits:

@@ -421,6 +421,16 @@ def test_toxicity_learns_and_generalises():
     assert toxicity.fit([], []).scorer().score("x") == 0.5
 
 
+def test_toxic_words_in_underscores():
+    s = toxicity.Model(["idiot"], {(0, 0): 4.0, (0, 1): 2.0}, np.ones(5)).scorer()
+    plain = s.features("you are an idiot")
+    for text in ("you are an _idiot_", "you are an __idiot__", "you are an *_idiot_*", "you are an (_idiot_)."):
+        assert np.allclose(s.features(text), plain)
+    assert np.allclose(s.features("you _idiot_ and idiot"), s.features("you idiot and idiot"))
+    assert len(s.near({"total_idiot_here", "_idiott_"})) == 2 and s.features("a total_idiot_here") is not None
+    assert s.features("_ __ snake_case _kind_") is None
+
+
 def test_toxicity_edge(edge, nothing, spark):
     labels = spark.createDataFrame([(1, 0), (5, 1), (6, None), (None, 1), (1, 0)], "doc_id long, toxic int")
     rows = toxicity.score_toxicity(edge, labels).collect()
