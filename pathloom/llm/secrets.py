@@ -18,7 +18,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")  # every assign match has one of these
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
+# the body may hold hyphens, as the headers of old encryption do, but no five in a row: it ends before the next BEGIN or END
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*+(?:-(?!----)[^-]*+)*+)-----END \1-----")
+LINE_END = re.compile(r"(?:\\+r)?\\+n|\r\n?")  # \r and \n as two characters each are line ends in JSON and env files
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 # base64 of DER starts with the byte 0x30 (M, then A to P), of OpenSSH's magic with b3BlbnNzaC1rZXktdjEA, of PEM with LS0tLS1CRUdJTi
 B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1r|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{30,}={0,2}")
@@ -107,14 +109,20 @@ def key_kind(data: bytes | None, depth: int = 0) -> str | None:
         return "ssh_key"
     if depth < 2 and data.startswith(b"-----BEGIN"):
         m = PEM.search(data.decode("latin-1"))
-        if m and (key_kind(unbase64(m[2]), depth + 1) or _legacy(m[2])):
+        if m and pem_body(m[2], depth + 1):
             return "pem_key"
     return None
 
 
+def pem_body(body: str, depth: int = 0) -> bool:
+    """Does a key, plain or encrypted, fill this PEM body, whose line ends may be escaped?"""
+    body = LINE_END.sub("\n", body).replace("\\/", "/")
+    return bool(key_kind(unbase64(body), depth)) or _legacy(body)
+
+
 def _legacy(body: str) -> bool:
     """A PEM body with the headers of old encryption, and then whole cipher blocks."""
-    head, _, rest = body.partition("\n\n")
+    head, _, rest = "\n".join(x.strip() for x in body.split("\n")).strip("\n").partition("\n\n")
     data = unbase64(rest)
     return "Proc-Type: 4,ENCRYPTED" in head and "DEK-Info:" in head and bool(data) and len(data) % 8 == 0
 
@@ -152,7 +160,7 @@ def confirmed_spans(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
     out = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            if key_kind(unbase64(m[2])) or _legacy(m[2].strip("\n").replace("\r", "")):
+            if pem_body(m[2]):
                 out.append(("pem_key", m.start(), m.end()))
     inside = lambda a: any(s <= a < e for _, s, e in out)
     if "eyJ" in text:
