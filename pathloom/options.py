@@ -205,9 +205,17 @@ def lengths(spark, d):
     return spark.createDataFrame(rows, "dimension int, degree int, sig_length long, log_sig_length long")
 
 
+def linear_orders(spark, d):
+    """linear_sig of every order of every customer. Values are multiples of 1 / (2 * 97 ** 2 * 10 ** 10): none ends on
+    half a unit of the ninth place."""
+    p = core.sources.order_points(spark, d)
+    return core.rounded(p.select("key", "i", *[c.alias(n) for n, c in core.paths.linear_sig([F.col("x0"), F.col("x1")], 2).items()]), core.NAMES, ("key", "i"), 9)
+
+
 _TAIL_LAST = f"with p as ({EVENTS}), w as (select key, i, n, x0, x1, lag(x0) over v as l0, lag(x1) over v as l1, lead(x0) over v as r0, lead(x1) over v as r1, first_value(x0) over v as f0, last_value(x1) over (v rows between unbounded preceding and unbounded following) as e1, first_value(x1) over v as f1 from p window v as (partition by key order by i))"
 
 QUERIES = {
+    "linear_sig_all": linear_orders,
     "sig_degree3": lambda spark, d: core.spread(plans.signature(core.points(spark, d), 3), "s", NAMES3, digits=DIGITS),
     "sig_coef_degree3": lambda spark, d: core.rounded(cascade.coefficients(core.points(spark, d), words.words_of_length(2, 3)), NAMES3[6:], digits=DIGITS),
     "sig_time_aug": of_paths(lambda: features.sig("path", 3, time_aug=True), NAMES3, first_channel),
@@ -257,6 +265,9 @@ _COEF_GRADIENT = f"""{_TAIL_LAST} select key, i,
  round(case when i = 0 then (x0 - r0) / 2 when i = n - 1 then (x0 + l0) / 2 - f0 else (l0 - r0) / 2 end, 6) + 0.0 as g1 from w"""
 _BENT = {n: f"{n} + (n - 1) * ({c})" for n, c in zip(core.NAMES[2:], CORRECTION)}
 ORACLE_SQL = {
+    "linear_sig_all": "with q as (select o_custkey as key, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as i, o_totalprice / 97000.0 as s0 from orders), r as (select *, i / 100.0 as s1 from q) select key, i, "
+    + ", ".join(f"round({e}, 9) + 0.0 as s{n}" for n, e in core._LINEAR.items())
+    + " from r",
     **{n: pick(S3) for n in ("sig_degree3", "sig_join_prepend", "stream_sig")},
     "sig_coef_degree3": pick({n: n for n in NAMES3[6:]}),
     "sig_time_aug": pick(S3, TIMED),

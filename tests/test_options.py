@@ -30,6 +30,11 @@ def test_sql(spark, duck, name):
     assert sorted(repr([r[c] for c in sorted(at)]) for r in df.collect()) == want != []
 
 
+def test_every_order_has_its_linear_signature(spark, duck):
+    got = options.QUERIES["linear_sig_all"](spark, SF)
+    assert got.count() == duck.execute("select count(*) from orders").fetchone()[0] > got.where("i < 3").count()
+
+
 def test_gram_gradients(spark):
     v = options.corners(spark, SF)
     a, b = v.where("label = 0"), v.where("label = 1")
