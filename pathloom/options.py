@@ -176,7 +176,7 @@ def metric_sql(pre: str) -> dict[str, str]:
 
 def static_kernels(spark, d):
     """One signature kernel for each static kernel, of each vector's path with the smallest key's path of its label."""
-    v = corners(spark, d)
+    v = core.vectors(spark, d)
     other = v.groupBy("label").agg(F.min_by("path", "key").alias("pb"))
     each = {
         "linear": kernels.LinearKernel(), "scaled": kernels.ScaledLinearKernel(0.5), "rbf": kernels.RBFKernel(2.0), "polynomial": kernels.PolynomialKernel(2, 1.0, 0.5),
@@ -186,9 +186,9 @@ def static_kernels(spark, d):
     return pairs.select("key", *[F.round(gram.sig_kernel(dyadic_order=0, static=k), 9).alias(n) for n, k in each.items()])
 
 
-def matrix_gradient(fn):
+def matrix_gradient(fn, source=core.vectors):
     def run(spark, d):
-        v = corners(spark, d)
+        v = source(spark, d)
         g = gram.gradients(fn, v.where("label = 0"), v.where("label = 1"))
         return g.select("i", F.posexplode("gradient").alias("pos", "g")).select("i", "pos", (F.round("g", 6) + F.lit(0.0)).alias("g"))
 
@@ -199,6 +199,11 @@ _DEPTH1_GRADIENT = f"""{_DEPTH1}, s as (select g.i, sum(k * (y.u0 + y.v0)) as a,
  select i, unnest(range(6))::int as pos, unnest([round(-a, 6) + 0.0, round(-b, 6) + 0.0, 0.0, 0.0, round(a, 6) + 0.0, round(b, 6) + 0.0]) as g from s"""
 
 
+#: At depth 1 a kernel depends on the end points alone, so the points between have no gradient.
+_DEPTH1_GRADIENT_ALL = f"""{_DEPTH1}, s as (select g.i, sum(k * (y.u0 + y.v0)) as a, sum(k * (y.u1 + y.v1)) as b from g join e y on y.key = g.j where lx = 0 and ly = 1 group by g.i)
+ select i, unnest(range(64))::int as pos, unnest([round(-a, 6) + 0.0, round(-b, 6) + 0.0, {", ".join(["0.0"] * 60)}, round(a, 6) + 0.0, round(b, 6) + 0.0]) as g from s"""
+
+
 def lengths(spark, d):
     """The number of words and of Lyndon words up to a degree."""
     rows = [(m, n, words.sig_length(m, n), words.log_sig_length(m, n)) for m in (1, 2, 3, 5) for n in range(1, 7)]
@@ -251,7 +256,8 @@ QUERIES = {
     "sig_coef_backprop": gradient_rows(lambda x: tensor.coefficients(x, [(0, 1)])),
     "branched_sig_coef_backprop": gradient_rows(lambda x: branched.coefficients(x, [((0,), 1)])),
     "sig_kernel_gram_backprop": matrix_gradient(lambda x, y: kernels.sig_kernel(x, y, 0)),
-    "branched_sig_kernel_gram_backprop": matrix_gradient(lambda x, y: kernels.branched_sig_kernel(x, y, 1)),
+    "branched_sig_kernel_gram_backprop": matrix_gradient(lambda x, y: kernels.branched_sig_kernel(x, y, 1), corners),
+    "branched_sig_kernel_gram_backprop_all": matrix_gradient(lambda x, y: kernels.branched_sig_kernel(x, y, 1)),
     "sig_join_prepend_backprop": core.vjp_of(core.last_features(lambda c: features.sig(c, 2)), ("h", "delta"), lambda h, x: tensor.join(h, x, 2, 2, True), 6),
     "branched_sig_join_backprop": core.vjp_of(core.last_features(lambda c: features.branched_sig(c, 2)), ("h", "delta"), lambda h, x: branched.join(h, x, 2, 2), 6),
     "branched_log_sig_join_backprop": core.vjp_of(core.last_features(lambda c: features.branched_log_sig(c, 2, True, 2)), ("h", "delta"), lambda h, x: branched.log_join(h, x, 2, 2), 7),
@@ -297,6 +303,7 @@ ORACLE_SQL = {
     "sig_backprop_degree1": f"with p as ({EVENTS}) select key, i, case when i = 0 then -1.0 when i = n - 1 then 1.0 else 0.0 end::double as g0, case when i = 0 then -1.0 when i = n - 1 then 1.0 else 0.0 end::double as g1 from p",
     **{n: _COEF_GRADIENT for n in ("sig_coef_backprop", "branched_sig_coef_backprop")},
     "branched_sig_kernel_gram_backprop": _DEPTH1_GRADIENT,
+    "branched_sig_kernel_gram_backprop_all": _DEPTH1_GRADIENT_ALL,
     "interval_sig": f"""{integrals(_QUARTER)} select key, a, b, {", ".join(f"round({n}, 6) + 0.0 as {n}" for n in core.NAMES)} from s
  join (select user_id as key, count(*) // 4 as a, count(*) // 2 as b from events group by user_id) using (key)""",
     "linear_branched_log_sig": core._STEP + " select key, round(s0, 6) + 0.0 as t0, round(s1, 6) + 0.0 as t1, 0.0::double as t00, 0.0::double as t01, 0.0::double as t10, 0.0::double as t11 from e",

@@ -52,6 +52,26 @@ def test_gram_gradients(spark):
             assert got[r.key][k] == pytest.approx((up - down) / 2e-5, abs=1e-5, rel=1e-6)
 
 
+def test_kernels_of_whole_paths(spark):
+    v = {r.key: (r.label, np.array(r.path)) for r in queries.vectors(spark, SF).collect()}
+    x, y = (np.array([p for _, (n, p) in sorted(v.items()) if n == label]) for label in (0, 1))
+    first = {label: min(k for k, (n, _) in v.items() if n == label) for label, _ in v.values()}
+    rows = options.QUERIES["sig_kernel_statics"](spark, SF).where("key % 20 = 0").collect()
+    for r in rows:
+        label, a = v[r.key]
+        b = v[first[label]][1]
+        for got, static in ((r.linear, kernels.LinearKernel()), (r.matern32, kernels.Matern32Kernel(1.5)), (r.polynomial, kernels.PolynomialKernel(2, 1.0, 0.5))):
+            assert got == pytest.approx(kernels.sig_kernel(a[None], b[None], 0, static)[0], abs=1e-8, rel=1e-9)
+    keys = sorted(k for k, (label, _) in v.items() if label == 0)
+    got = {(r.i, r.pos): r.g for r in options.QUERIES["sig_kernel_gram_backprop"](spark, SF).collect()}
+    assert len(got) == len(x) * 64
+    for at, pos in ((0, 0), (0, 20), (3, 35), (5, 63)):
+        step = np.zeros(64)
+        step[pos] = 1e-5
+        up, down = (kernels.sig_kernel(np.repeat((x[at] + s * step.reshape(32, 2))[None], len(y), 0), y, 0).sum() for s in (1, -1))
+        assert got[keys[at], pos] == pytest.approx((up - down) / 2e-5, abs=1e-4, rel=1e-5)
+
+
 def test_flags(spark):
     x = np.random.default_rng(3).standard_normal((5, 2))
     df = spark.createDataFrame([(x.tolist(),), (None,)], "path array<array<double>>")
