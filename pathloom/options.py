@@ -26,6 +26,11 @@ _QUARTER = f"select key, i, x0, x1 from ({EVENTS}) where i >= n // 4 and i <= n
 LAST_WINDOW = f"select key, i, x0, x1 from ({EVENTS}) where n >= 16 and i >= (n - 16) // 8 * 8 and i < (n - 16) // 8 * 8 + 16"
 
 
+#: Every window as a path of its own, with {k: user, w: window} as its key.
+WINDOWS = f"""select {{'k': key, 'w': win}} as key, i, x0, x1
+ from (select *, unnest(range(greatest(0, ceil((i - 15) / 8.0))::bigint, least(i // 8, (n - 16) // 8)::bigint + 1)) as win from ({EVENTS}) where n >= 16)"""
+
+
 def integrals(points: str) -> str:
     """CTEs up to s: the iterated integrals s0 ... s111 of each key's piecewise linear path (key, i, x0, x1)."""
     two = [(a, b) for a in "01" for b in "01"]
@@ -42,6 +47,10 @@ def pick(columns: dict[str, str], points: str = EVENTS) -> str:
     return f"{integrals(points)} select key, " + ", ".join(f"round({e}, {DIGITS}) + 0.0 as {n}" for n, e in columns.items()) + " from s"
 
 
+def pick_windows(columns: dict[str, str]) -> str:
+    return f"{integrals(WINDOWS)} select key['k'] as key, key['w'] as win, " + ", ".join(f"round({e}, {DIGITS}) + 0.0 as {n}" for n, e in columns.items()) + " from s"
+
+
 def shuffle(a: Counter, b: Counter) -> Counter:
     """The shuffle product of sums of words."""
 
@@ -117,6 +126,24 @@ def streamed(make, names, window=False):
     return run
 
 
+def streamed_windows(make, names):
+    """(key, win, ...): what a window stream says of every window of each user's path, pushed in two batches."""
+
+    def run(spark, d):
+        def fn(x):
+            s = make()
+            s.push_batch(x[:, :1])
+            s.push_batch(x[:, 1:])
+            return np.moveaxis(s.sig(), 0, 1).reshape(len(x), -1)
+
+        found = core.packed(spark, d).where("size(path) >= 16").select("key", features.vector(fn, "path").alias("s"))
+        starts = F.sequence(F.lit(1), F.size("s"), F.lit(len(names)))
+        rows = found.select("key", F.posexplode(F.transform(starts, lambda a: F.slice("s", a, len(names)))).alias("win", "s"))
+        return core.spread(rows.withColumn("win", F.col("win").cast("long")), "s", names, ("key", "win"), digits=DIGITS)
+
+    return run
+
+
 def gradient_rows(fn):
     """(key, i, g0, g1): the gradient of fn at each point of a user's path."""
 
@@ -248,6 +275,10 @@ QUERIES = {
     "stream_log_sig_window": streamed(lambda: state.LogSigWindowStream(2, 3, 16, 8), list(LOG3), True),
     "stream_branched_sig_window": streamed(lambda: state.BranchedSigWindowStream(2, 3, 16, 8), list(TREES3), True),
     "stream_branched_log_sig_window": streamed(lambda: state.BranchedLogSigWindowStream(2, 2, 16, 8), core.CHAIN_NAMES, True),
+    "stream_sig_windows": streamed_windows(lambda: state.SigWindowStream(2, 3, 16, 8), NAMES3),
+    "stream_log_sig_windows": streamed_windows(lambda: state.LogSigWindowStream(2, 3, 16, 8), list(LOG3)),
+    "stream_branched_sig_windows": streamed_windows(lambda: state.BranchedSigWindowStream(2, 3, 16, 8), list(TREES3)),
+    "stream_branched_log_sig_windows": streamed_windows(lambda: state.BranchedLogSigWindowStream(2, 2, 16, 8), core.CHAIN_NAMES),
     "lengths_table": lengths,
     "sig_kernel_statics": static_kernels,
     **{f"sig_{w}_corners": corner_metric(w, lambda: gram.sig_kernel(dyadic_order=0)) for w in ("gram", "score", "expected", "mmd")},
@@ -293,6 +324,10 @@ ORACLE_SQL = {
     "stream_log_sig_window": pick(LOG3, LAST_WINDOW),
     "stream_branched_sig_window": pick(TREES3, LAST_WINDOW),
     "stream_branched_log_sig_window": pick({"t" + n[1:]: e for n, e in EXPANDED.items()}, LAST_WINDOW),
+    "stream_sig_windows": pick_windows(S3),
+    "stream_log_sig_windows": pick_windows(LOG3),
+    "stream_branched_sig_windows": pick_windows(TREES3),
+    "stream_branched_log_sig_windows": pick_windows({"t" + n[1:]: e for n, e in EXPANDED.items()}),
     "lengths_table": """with m as (select unnest([1, 2, 3, 5]) as dimension), n as (select unnest(range(1, 7)) as degree),
  mu as (select unnest([1, 2, 3, 5, 6]) as r, unnest([1, -1, -1, -1, 1]) as v),
  lyndon as (select dimension, degree, sum(v * pow(dimension, degree // r))::bigint // degree as c from m, n, mu where degree % r = 0 group by dimension, degree)

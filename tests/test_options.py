@@ -35,6 +35,13 @@ def test_every_order_has_its_linear_signature(spark, duck):
     assert got.count() == duck.execute("select count(*) from orders").fetchone()[0] > got.where("i < 3").count()
 
 
+@pytest.mark.parametrize("name", [f"stream_{k}_windows" for k in ("sig", "log_sig", "branched_sig", "branched_log_sig")])
+def test_streams_give_every_window(spark, name):
+    got = options.QUERIES[name](spark, SF).select("key", "win").collect()
+    sizes = {r.key: len(r.path) for r in queries.packed(spark, SF).collect()}
+    assert sorted(map(tuple, got)) == [(k, w) for k in sorted(sizes) for w in range((sizes[k] - 16) // 8 + 1)]
+
+
 def test_gram_gradients(spark):
     v = options.corners(spark, SF)
     a, b = v.where("label = 0"), v.where("label = 1")
