@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from . import plans, queries as core
 from .functions import branched, kernels, tape, tensor, trees, words
 from .operators import cascade, features, gram
-from .streaming import state
+from .streaming import frames, state
 
 #: Values are multiples of 1 / (12 * 97 ** k * 10 ** 6): none ends on half a unit of this place.
 DIGITS = 8
 NAMES3 = [cascade.name(w) for w in words.words(2, 3)]
+NAMES4 = [cascade.name(w) for w in words.words(2, 4)]
 EVENTS = """select user_id as key, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value / 97.0 as x0,
  (row_number() over (partition by user_id order by ts, event_id) - 1) / 100.0 as x1, count(*) over (partition by user_id) as n from events"""
 TIMED = f"select key, i, x0, i * 1.0 / (n - 1) as x1 from ({EVENTS})"
@@ -43,6 +44,39 @@ def integrals(points: str) -> str:
  a as (select *, {before} from d), s as (select key, count(*) as n, {", ".join(sums)} from a group by key)"""
 
 
+def places(name: str) -> int:
+    """Values of four letters are multiples of 1 / (24 * 97 ** k * 10 ** 8), some of which end on half a unit of the eighth
+    place, and a hundredth as many on half a unit of the sixth."""
+    return 6 if len(name) == 5 else DIGITS
+
+
+def whole_degree4(spark, d):
+    s = plans.signature(core.points(spark, d), 4)
+    return s.select("key", *[(F.round(F.element_at("s", k + 1), places(n)) + F.lit(0.0)).alias(n) for k, n in enumerate(NAMES4)])
+
+
+def _step3(w: str) -> str:
+    a, b, c = w
+    return f"p{a}{b} * d{c} + b{a} * d{b} * d{c} / 2 + d{a} * d{b} * d{c} / 6"
+
+
+def degree4() -> str:
+    """The integrals of all words of up to four letters: what a segment adds, by the products of what is before it with
+    the segment's own powers."""
+    three, four = ["".join(map(str, w)) for w in words.words_of_length(2, 3)], ["".join(map(str, w)) for w in words.words_of_length(2, 4)]
+    before = ", ".join(f"coalesce(sum({_step3(w)}) over (partition by key order by i rows between unbounded preceding and 1 preceding), 0) as p{w}" for w in three)
+    steps = ", ".join(f"sum(p{a}{b}{c} * d{d} + p{a}{b} * d{c} * d{d} / 2 + b{a} * d{b} * d{c} * d{d} / 6 + d{a} * d{b} * d{c} * d{d} / 24) as s{a}{b}{c}{d}" for a, b, c, d in four)
+    return f"""{integrals(EVENTS)}, a4 as (select *, {before} from a), t as (select key, {steps} from a4 group by key)
+ select key, {", ".join(f"round({n}, {places(n)}) + 0.0 as {n}" for n in NAMES4)} from s join t using (key)"""
+
+
+def prefixes3() -> str:
+    """The integrals of all words of up to three letters, up to each point."""
+    steps = {"s" + a: "d" + a for a in "01"} | {f"s{a}{b}": f"b{a} * d{b} + d{a} * d{b} / 2" for a in "01" for b in "01"} | {n: _step3(n[1:]) for n in NAMES3[6:]}
+    return f"""{integrals(EVENTS)}, r as (select key, i, {", ".join(f"sum({steps[n]}) over (partition by key order by i) as {n}" for n in NAMES3)} from a)
+ select key, i, {", ".join(f"round({n}, {DIGITS}) + 0.0 as {n}" for n in NAMES3)} from r"""
+
+
 def pick(columns: dict[str, str], points: str = EVENTS) -> str:
     return f"{integrals(points)} select key, " + ", ".join(f"round({e}, {DIGITS}) + 0.0 as {n}" for n, e in columns.items()) + " from s"
 
@@ -249,6 +283,8 @@ _TAIL_LAST = f"with p as ({EVENTS}), w as (select key, i, n, x0, x1, lag(x0) ove
 QUERIES = {
     "linear_sig_all": linear_orders,
     "sig_degree3": lambda spark, d: core.spread(plans.signature(core.points(spark, d), 3), "s", NAMES3, digits=DIGITS),
+    "sig_degree4_all": whole_degree4,
+    "prefix_table_degree3_all": lambda spark, d: core.spread(frames.prefix_table(core.points(spark, d), 3).withColumn("i", F.col("i").cast("long")), "s", NAMES3, ("key", "i"), digits=DIGITS),
     "sig_coef_degree3": lambda spark, d: core.rounded(cascade.coefficients(core.points(spark, d), words.words_of_length(2, 3)), NAMES3[6:], digits=DIGITS),
     "sig_time_aug": of_paths(lambda: features.sig("path", 3, time_aug=True), NAMES3, first_channel),
     "sig_lead_lag": of_paths(lambda: features.sig("path", 3, lead_lag=True), NAMES3, first_channel),
@@ -306,6 +342,8 @@ ORACLE_SQL = {
     + ", ".join(f"round({e}, 9) + 0.0 as s{n}" for n, e in core._LINEAR.items())
     + " from r",
     **{n: pick(S3) for n in ("sig_degree3", "sig_join_prepend", "stream_sig")},
+    "sig_degree4_all": degree4(),
+    "prefix_table_degree3_all": prefixes3(),
     "sig_coef_degree3": pick({n: n for n in NAMES3[6:]}),
     "sig_time_aug": pick(S3, TIMED),
     "sig_lead_lag": pick(S3, LEAD_LAG),

@@ -42,6 +42,18 @@ def test_streams_give_every_window(spark, name):
     assert sorted(map(tuple, got)) == [(k, w) for k in sorted(sizes) for w in range((sizes[k] - 16) // 8 + 1)]
 
 
+def test_all_levels_are_returned(spark):
+    paths = {r.key: np.array([list(p) for p in r.path])[None] for r in queries.packed(spark, SF).collect()}
+    whole = options.QUERIES["sig_degree4_all"](spark, SF).collect()
+    assert len(whole) == len(paths)
+    for r in whole:
+        assert np.allclose(r[1:], tensor.sig(paths[r.key], 4)[0], atol=1e-6) and len(r[1:]) == 30
+    rows = options.QUERIES["prefix_table_degree3_all"](spark, SF).where("i in (0, 1, 17)").collect()
+    assert len(rows) == 3 * len(paths)
+    for r in rows:
+        assert np.allclose(r[2:], tensor.sig(paths[r.key][:, : r.i + 1], 3)[0], atol=1e-8) and len(r[2:]) == 14
+
+
 def test_gram_gradients(spark):
     v = options.corners(spark, SF)
     a, b = v.where("label = 0"), v.where("label = 1")
