@@ -35,8 +35,9 @@ def branched_sig_kernel(a="pa", b="pb", *, depth: int, time_aug=False, lead_lag=
     return kernel(lambda x, y: kernels.branched_sig_kernel(lift(x), lift(y), depth, **how), a, b)
 
 
-def pairs(left: DataFrame, right: DataFrame | None = None, blocks: int = 16) -> DataFrame:
-    """(i, j, pa, pb): every pair of two samples, or of one sample with i <= j.
+def pairs(left: DataFrame, right: DataFrame | None = None, blocks: int = 16, by: str | None = None) -> DataFrame:
+    """(i, j, pa, pb): every pair of two samples, or of one sample with i <= j; with `by`, only pairs that are equal
+    there, as two nulls are.
 
     A Gram matrix is a whole product by definition. Both sides are dealt to blocks and sent to the block pairs they
     belong to, so that the product is an equi-join spread over blocks * blocks keys and neither side is broadcast.
@@ -44,9 +45,10 @@ def pairs(left: DataFrame, right: DataFrame | None = None, blocks: int = 16) ->
     one = right is None
     r = left if one else right
     n = F.lit(blocks)
-    a = left.select(F.col("key").alias("i"), F.col("path").alias("pa"), F.pmod(F.xxhash64("key"), n).alias("g")).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
-    b = r.select(F.col("key").alias("j"), F.col("path").alias("pb"), F.pmod(F.xxhash64("key"), n).alias("h")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
-    out = a.join(b, ["g", "h"]).select("i", "j", "pa", "pb")
+    same = [] if by is None else [F.struct(by).alias("same")]
+    a = left.select(*same, F.col("key").alias("i"), F.col("path").alias("pa"), F.pmod(F.xxhash64("key"), n).alias("g")).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    b = r.select(*same, F.col("key").alias("j"), F.col("path").alias("pb"), F.pmod(F.xxhash64("key"), n).alias("h")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    out = a.join(b, ["same"] * bool(same) + ["g", "h"]).select("i", "j", "pa", "pb")
     return out.where("i <= j") if one else out
 
 
@@ -54,9 +56,9 @@ def mirror(upper: DataFrame) -> DataFrame:
     return upper.unionByName(upper.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
 
 
-def gram(k: Column, left: DataFrame, right: DataFrame | None = None, blocks: int = 16) -> DataFrame:
-    """(i, j, k). With one sample, only i <= j is computed and the rest mirrored."""
-    out = pairs(left, right, blocks).select("i", "j", k.alias("k"))
+def gram(k: Column, left: DataFrame, right: DataFrame | None = None, blocks: int = 16, by: str | None = None) -> DataFrame:
+    """(i, j, k). With one sample, only i <= j is computed and the rest mirrored. With `by`, a matrix for each of its values."""
+    out = pairs(left, right, blocks, by).select("i", "j", k.alias("k"))
     return mirror(out) if right is None else out
 
 

@@ -216,8 +216,8 @@ QUERIES = {
     "branched_sig_kernel": against_first(lambda: gram.branched_sig_kernel(depth=3, dyadic_order=0)),
     "branched_sig_kernel_polynomial": against_first(lambda: gram.branched_sig_kernel(depth=3, method="polynomial", order=2)),
     "branched_sig_kernel_depth1": against_first(lambda: gram.branched_sig_kernel(depth=1, dyadic_order=0)),
-    "sig_kernel_gram": lambda spark, d: gram.gram(small_kernel(), two_labels(spark, d)[0]),
-    "branched_sig_kernel_gram": lambda spark, d: gram.gram(branched_kernel(), two_labels(spark, d)[0]),
+    "sig_kernel_gram": lambda spark, d: gram.gram(small_kernel(), vectors(spark, d), by="label"),
+    "branched_sig_kernel_gram": lambda spark, d: gram.gram(branched_kernel(), vectors(spark, d), by="label"),
     "sig_score": metric("score", small_kernel),
     "expected_sig_score": metric("expected", small_kernel),
     "sig_mmd": metric("mmd", small_kernel),

@@ -91,6 +91,25 @@ def test_kernels_of_whole_paths(spark):
         assert got[keys[at], pos] == pytest.approx((up - down) / 2e-5, abs=1e-4, rel=1e-5)
 
 
+@pytest.mark.parametrize("name", ["sig_kernel_gram", "branched_sig_kernel_gram"])
+def test_each_label_has_its_gram_matrix(spark, name):
+    v = queries.vectors(spark, SF)
+    want = {(a, b) for own in v.groupBy("label").agg(F.collect_list("key").alias("keys")).collect() for a in own["keys"] for b in own["keys"]}
+    got = queries.QUERIES[name](spark, SF).collect()
+    assert len(got) == len(want) and {(r.i, r.j) for r in got} == want
+    values, paths = {(r.i, r.j): r.k for r in got}, {r.key: np.array([list(p) for p in r.path])[None] for r in v.collect()}
+    one = (lambda x, y: kernels.sig_kernel(x, y, 0, kernels.RBFKernel(4.0))) if name == "sig_kernel_gram" else (lambda x, y: kernels.branched_sig_kernel(x, y, 2, dyadic_order=0))
+    for a, b in sorted(want)[::3000]:
+        assert values[a, b] == values[b, a] == pytest.approx(one(paths[a], paths[b])[0])
+
+
+def test_gram_of_null_labels(spark):
+    rows = [(k, label, [[0.0, 0.0], [0.1 * k, 0.2]]) for k, label in enumerate([0, 0, 1, None, None])]
+    df = spark.createDataFrame(rows, "key long, label int, path array<array<double>>")
+    got = {(r.i, r.j) for r in gram.gram(gram.sig_kernel(dyadic_order=0), df, by="label").collect()}
+    assert got == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (3, 3), (3, 4), (4, 3), (4, 4)}
+
+
 def test_flags(spark):
     x = np.random.default_rng(3).standard_normal((5, 2))
     df = spark.createDataFrame([(x.tolist(),), (None,)], "path array<array<double>>")
