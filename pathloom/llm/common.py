@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +18,13 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one is made only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local one is made for a local
+    master (tests); on a cluster that would be another folder on each machine, so it is an error there."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,21 +61,44 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def lean(fn):
+    """For functions of mapInArrow and applyInArrow: what a task held goes back to the system when it ends, so that a
+    worker that waits for its next task keeps only what its module keeps on purpose."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str]:
+    """The texts of a batch, null ones as empty."""
+    return [t or "" for t in batch.column("text").to_pylist()]
+
+
 class WordHashes(dict):
     """Raw whitespace-delimited token -> 64-bit hash of its letters and digits in lower case; 0 for tokens with none.
 
-    A worker keeps at most `most` tokens and starts afresh beyond that, so its memory does not follow the input.
+    The first `most` tokens, the commonest among them, are kept and later ones are hashed again each time, so a worker's
+    memory does not follow the input.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
         word = "".join(c for c in token.lower() if c.isalnum())
-        out = self[token] = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        out = (xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
+        if len(self) < self.most:
+            self[token] = out
         return out
 
     def words(self, text: str) -> np.ndarray:

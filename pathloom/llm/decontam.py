@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, run_hash
+from .common import U64, Scratch, WordHashes, lean, run_hash, texts_of
+from .idfiles import filesystem
 from .tokens import slices
 
 
@@ -107,17 +108,28 @@ class Items:
 TOKEN = re.compile(r"\S+")
 
 
-def blocks_of(items: DataFrame, block_bytes: int):
-    """The items in blocks of about `block_bytes` by a hash: lists of (item_id, text), one on the driver at a time."""
+def blocks_of(items: DataFrame, block_bytes: int) -> list[str]:
+    """Folders, shared by all executors, that the items were written to in blocks of about `block_bytes` by a hash. The
+    driver learns their names only. Parts of an item's row that no text is in are left out."""
     b = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
-    for n in range(blocks):
-        part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n) if blocks > 1 else b
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    blocks, scratch = int(total // block_bytes) + 1, Scratch(items.sparkSession, "items")
+    return [scratch.table(b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n) if blocks > 1 else b).scratch_path for n in range(blocks)]
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, similarity: float = 0.8, block_bytes: int = 4_000_000) -> DataFrame:
+def block_rows(folder: str) -> list[tuple[int | None, str]]:
+    """The items of one block, in the order of item_id and text."""
+    from pyarrow import dataset
+
+    fs, path = filesystem(folder)
+    t = dataset.dataset(path, filesystem=fs, format="parquet", schema=pa.schema([("item_id", pa.int64()), ("text", pa.string())])).to_table()
+    return sorted(zip(t["item_id"].to_pylist(), t["text"].to_pylist()), key=lambda r: (r[0] is not None, r))
+
+
+FOUND = ["doc_id", "item_id", "distance", "start", "end"]
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, similarity: float = 0.8, block_bytes: int = 8_000_000) -> DataFrame:
     """Documents that hold a benchmark item with at most (1 - similarity) of its words edited.
 
     Words are letters and digits in lower case. Rows (doc_id, item_id, distance, start, end): for each document and
@@ -125,48 +137,47 @@ def find_benchmark(docs: DataFrame, items: DataFrame, similarity: float = 0.8, b
     a match give no row. Null and empty texts, and items without a word, match nothing; null ids are kept; repeated
     rows give repeated rows; other columns are ignored.
 
-    The items are a stated query set: they are taken in blocks of about `block_bytes` by a hash of item_id, and each
-    block is held against all documents in one pass without a shuffle, so neither side has to fit anywhere.
+    The items are a stated query set: they are written in blocks of about `block_bytes` by a hash of item_id and text.
+    Each block is one pass over all documents without a shuffle, in which a task reads the block for itself, so neither
+    side has to fit on the driver or in one task.
     """
     d = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    schema, out = "doc_id long, item_id long, distance long, start long, end long", None
-
-    def over(rows):
-        def run(frames):
-            scan = Scanner(rows, similarity)
-            for f in frames:
-                keys, found = f["doc_id"].tolist(), []
-                for i, item, distance, start, end in scan.matches(f["text"].tolist()):
-                    found.append((None if pd.isna(keys[i]) else int(keys[i]), item, distance, start, end))
-                out = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start", "end"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int64", "start": "int64", "end": "int64"})
+
+    def over(folder):
+        @lean
+        def run(batches):
+            scan = Scanner(block_rows(folder), similarity)
+            for b in batches:
+                found = list(scan.matches(texts_of(b)))
+                if found:
+                    at, *rest = zip(*found)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(v, pa.int64()) for v in rest)], FOUND)
 
         return run
 
-    for rows in blocks_of(items, block_bytes):
-        found = d.mapInPandas(over(rows), schema)
+    out = None
+    for folder in blocks_of(items, block_bytes):
+        found = d.mapInArrow(over(folder), ", ".join(f"{c} long" for c in FOUND))
         out = found if out is None else out.union(found)
     return out
 
 
-def reject_contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, block_bytes: int = 4_000_000) -> DataFrame:
+def reject_contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, block_bytes: int = 8_000_000) -> DataFrame:
     """The rows of `docs`, all columns, that `find_benchmark` finds nothing in."""
 
-    def over(rows):
+    def over(folder):
+        @lean
         def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            scan = Scanner(rows, similarity)
+            scan = Scanner(block_rows(folder), similarity)
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
-                keep[[m[0] for m in scan.matches([t or "" for t in b.column("text").to_pylist()])]] = False
+                keep[[m[0] for m in scan.matches(texts_of(b))]] = False
                 yield b.filter(pa.array(keep))
 
         return run
 
-    for rows in blocks_of(items, block_bytes):
-        docs = docs.mapInArrow(over(rows), docs.schema)
+    for folder in blocks_of(items, block_bytes):
+        docs = docs.mapInArrow(over(folder), docs.schema)
     return docs
 
 

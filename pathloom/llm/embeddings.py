@@ -91,7 +91,7 @@ def fresh(t: pa.Table) -> pa.Table:
 
 
 def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12, least: int = 8, blocks: int | None = None, words: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept, one row for each vec_id.
+    """vec_id, n_links, component_id, kept: one row for each vec_id, and for each row without one.
 
     Vectors are linked if their labels are equal and not null, their lengths are equal, and their cosine in double
     precision is at least `cosine`. Null vectors, and such as are empty, zero or hold null or non-finite values, link
@@ -215,5 +215,5 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, expected: float = 12,
         .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )
-    nameless = rows.where("vec_id is null").limit(1).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    nameless = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.union(nameless)

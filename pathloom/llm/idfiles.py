@@ -7,11 +7,12 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
+from .common import lean, texts_of
 
 MAGIC = b"PLEF0001"
 EVERY = 64  # a select sample for each so many values
@@ -78,7 +79,7 @@ class EliasFano:
 
 
 def filesystem(uri: str):
-    """The file system and path of a folder that all executors share; a bare path is local."""
+    """The file system and path of a folder that all executors share. A bare path is a mounted one."""
     from pyarrow import fs
 
     if "://" not in uri and not uri.startswith("file:"):
@@ -109,7 +110,7 @@ class ShardWriter:
     def close(self) -> tuple[int, int]:
         least = self.keys[0] if self.keys else 0
         ends = EliasFano.of(np.array(self.ends, dtype=np.uint64)).tobytes()
-        keys = EliasFano.of((np.array(self.keys, dtype=np.int64) - least).astype(np.uint64)).tobytes()
+        keys = EliasFano.of(np.array(self.keys, dtype=np.int64).view(np.uint64) - np.array(least, dtype=np.int64).view(np.uint64)).tobytes()
         self.out.write(ends + keys + struct.pack("<QQQQqB", self.n, len(ends), len(keys), self.nulls, least, self.width))
         self.out.close()
         self.fs.move(self.tmp, self.path)
@@ -129,7 +130,7 @@ class ShardReader:
         index = self.file.read_at(ends + keys, size - foot - ends - keys)
         self.ends, at = EliasFano.frombytes(index)
         ef, _ = EliasFano.frombytes(index[at:])
-        self.doc_ids = [None] * self.nulls + (ef.all().astype(np.int64) + least).tolist()
+        self.doc_ids = [None] * self.nulls + (ef.all() + np.array(least, dtype=np.int64).view(np.uint64)).view(np.int64).tolist()
 
     def span(self, i: int) -> tuple[int, int]:
         return self.ends.get(i - 1) if i else 0, self.ends.get(i)
@@ -139,48 +140,74 @@ class ShardReader:
         return np.frombuffer(data, dtype=f"<u{self.width}")
 
 
+LEAST = -(1 << 63)
+
+
+class Shards:
+    """Which shard a doc_id belongs to, from sorted quantiles of doc_id (null is the least).
+
+    A doc_id that several quantiles fall on has too many rows for one shard: it gets a shard for each of them, and its
+    rows are dealt to these in turn.
+    """
+
+    def __init__(self, cuts):
+        self.cuts = np.array(cuts, dtype=np.int64)
+
+    def of(self, keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        first, past = (np.searchsorted(self.cuts, keys, side=s) for s in ("left", "right"))
+        return first + turn % np.maximum(1, past - first)
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, rows_per_shard: int = 4096, most_shards: int = 50_000) -> list[dict]:
     """Encodes whole texts (null: empty), appends `end_id` to each, and writes shards in ascending doc_id order.
 
-    Shard k has the doc_ids between two quantiles of doc_id; rows of equal doc_id share a shard and are ordered by
-    their ids; null doc_ids come first. Only ids are shuffled, in 2 bytes each where the vocabulary allows. Returns
-    shard, n_docs, n_ids in order: at most `most_shards` rows, the one thing the driver gets.
+    Shard k has the doc_ids between two quantiles of doc_id; null doc_ids come first. Rows of equal doc_id are ordered
+    by their ids within a shard, and lie in consecutive shards if they are too many for one. Only ids are shuffled, in 2
+    bytes each where the vocabulary allows, and shards are dealt to tasks in turn. Returns shard, n_docs, n_ids in order:
+    at most `most_shards` rows, the one thing the driver gets; a table of more than rows_per_shard * most_shards rows
+    gets larger shards, not fewer rows.
     """
     path = tokenizer or tokens.public_tokenizer("byte_bpe_50k.json")
     width = 2 if max(tokens.encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long"), "text")
     rows = d.count()
     shards = max(1, min(most_shards, -(-rows // rows_per_shard)))
-    cuts = d.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards).alias("q")).first()["q"] if shards > 1 else []
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    key = F.coalesce("doc_id", F.lit(LEAST))
+    cuts = d.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], 20 * shards).alias("q")).first()["q"] if shards > 1 else []
+    where = Shards(cuts or [])
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
-    def encode(frames):
-        enc = tokens.encoder(path, tokens.BatchEncoder)
-        for f in frames:
-            texts = f["text"].tolist()
-            for a, b in tokens.slices(texts, 8_000_000):
-                part = f["doc_id"].iloc[a:b]
-                shard = np.searchsorted(cuts, part.fillna(-(1 << 63)).astype(np.int64), side="left")
+    @lean
+    def encode(batches):
+        enc, turn = tokens.encoder(path, tokens.BatchEncoder), 0
+        for batch in batches:
+            texts, ids = texts_of(batch), batch.column("doc_id")
+            keys = ids.fill_null(LEAST).to_numpy(zero_copy_only=False)
+            for a, b in tokens.slices(texts, 4_000_000):
                 out = [tokens.ids(x).astype(f"<u{width}").tobytes() + end for x in enc.encode(texts[a:b])]
-                yield pd.DataFrame({"shard": shard, "doc_id": part.astype("Int64").to_numpy(), "data": out})
+                shard = where.of(keys[a:b], np.arange(turn, turn + b - a))
+                turn += b - a
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), ids.slice(a, b - a), pa.array(out, pa.binary())], ["shard", "doc_id", "data"])
 
-    def write(frames):
+    @lean
+    def write(batches):
         done, at, writer = [], None, None
-        for f in frames:
-            for shard, key, data in zip(f["shard"].tolist(), f["doc_id"].tolist(), f["data"].tolist()):
+        for batch in batches:
+            for shard, key, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "data"))):
                 if shard != at:
                     if writer:
                         done.append((at, *writer.close()))
                     at, writer = shard, ShardWriter(folder, shard, width)
-                writer.add(None if pd.isna(key) else int(key), data)
+                writer.add(key, data)
         if writer:
             done.append((at, *writer.close()))
-        yield pd.DataFrame(done, columns=["shard", "n_docs", "n_ids"])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*done)], ["shard", "n_docs", "n_ids"])
 
-    ids = d.mapInPandas(encode, "shard long, doc_id long, data binary")
-    spread = ids.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "data")
-    return sorted((r.asDict() for r in spread.mapInPandas(write, "shard long, n_docs long, n_ids long").collect()), key=lambda r: r["shard"])
+    ids = d.mapInArrow(encode, "shard long, doc_id long, data binary")
+    spread = ids.repartitionById(min(shards, 20_000), F.pmod(F.col("shard"), F.lit(min(shards, 20_000))).cast("int"))
+    spread = spread.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "data")
+    return sorted((r.asDict() for r in spread.mapInArrow(write, "shard long, n_docs long, n_ids long").collect()), key=lambda r: r["shard"])
 
 
 def read_ids(spark, folder: str, shards: list[dict]) -> DataFrame:
@@ -190,9 +217,10 @@ def read_ids(spark, folder: str, shards: list[dict]) -> DataFrame:
         rows.append((s["shard"], base))
         base += s["n_ids"]
 
-    def run(frames):
-        for f in frames:
-            for shard, base in zip(f["shard"].tolist(), f["base"].tolist()):
+    @lean
+    def run(batches):
+        for batch in batches:
+            for shard, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "base"))):
                 r = ShardReader(folder, shard)
                 ends = r.ends.all().astype(np.int64)
                 starts = np.concatenate([np.zeros(1, np.int64), ends])[:-1]
@@ -200,12 +228,12 @@ def read_ids(spark, folder: str, shards: list[dict]) -> DataFrame:
                     b = min(a + 1000, len(ends))
                     ids = r.ids(int(starts[a]), int(ends[b - 1])).astype("<u4")
                     crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts[a:b] - starts[a], ends[a:b] - starts[a])]
-                    yield pd.DataFrame({"doc_id": pd.array(r.doc_ids[a:b], dtype="Int64"), "start": starts[a:b] + base, "n_tokens": ends[a:b] - starts[a:b], "ids_crc32": crc})
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (r.doc_ids[a:b], starts[a:b] + base, ends[a:b] - starts[a:b], crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, "shard long, base long").repartition(max(1, min(len(rows), 1000))).mapInPandas(run, out)
+    return spark.createDataFrame(rows, "shard long, base long").repartition(max(1, min(len(rows), 1000))).mapInArrow(run, out)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, **how) -> DataFrame:

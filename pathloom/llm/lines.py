@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 
 def dedup_lines(docs: DataFrame, window: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes the later occurrences of repeated line windows.
@@ -16,12 +17,14 @@ def dedup_lines(docs: DataFrame, window: int = 3, keep: tuple[str, ...] = ()) ->
     Returns doc_id, text, n_lines, n_removed, one row for each row of `docs`. A null text gives null, 0, 0; an empty
     text, or one of fewer than `window` non-blank lines, stays as it is. A null doc_id counts as the smallest. Rows
     that repeat both doc_id and text are one document given twice: they get the same result. The columns named in `keep`
-    come along, others are ignored.
+    come along within one struct column `kept`, so that no name of theirs can clash; others are ignored.
 
-    The hash of a hot window meets in a partial minimum first; the join that follows has one row a hash on one side,
-    so adaptive execution can split the other.
+    The hash of a hot window meets in a partial minimum first. Repeated hashes and marks are written, so that Spark knows
+    their sizes: it broadcasts them where they are small, and else can split a hot hash in the join.
     """
-    d = docs.select("doc_id", "text", *keep).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(7), "doc_id")})
+    scratch = Scratch(docs.sparkSession, "lines")
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    d = docs.select("doc_id", "text", *kept).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(7), "doc_id")})
     lines = F.split("text", "\n", -1)
     filled = F.filter(F.transform(lines, lambda l, i: F.struct(F.trim(l).alias("l"), i.alias("i"))), lambda x: x["l"] != "")
 
@@ -40,19 +43,20 @@ def dedup_lines(docs: DataFrame, window: int = 3, keep: tuple[str, ...] = ()) ->
     # transform(array(x), f) evaluates x once, however often f uses it
     spans = d.select("doc_id", "k1", "k2", F.explode(F.flatten(F.transform(F.array(filled), windows))).alias("s")).select("doc_id", "k1", "k2", "s.*")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "w")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = scratch.table(first)
     later = spans.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "k1", "w").eqNullSafe(F.col("first")))
-    marked = later.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+    marked = scratch.table(later.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone")))
 
     def rest(ls):
-        keep = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
-        return F.array_join(F.transform(keep, lambda i: F.get(ls, i)), "\n")
+        stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
 
     return d.join(marked, ["k1", "k2"], "left").select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), rest)[0]).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        *keep,
+        *(["kept"] if keep else []),
     )
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import lean, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long"
 
@@ -120,33 +121,33 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
     path = tokenizer or tokens.public_tokenizer("word_bpe_49k.json")
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def encode(frames):
-        enc = tokens.encoder(path)
-        for f in frames:
-            keys, texts = f["doc_id"].tolist(), f["text"].tolist()
+    def encode(batches):
+        enc = tokens.encoder(path, tokens.BatchEncoder)
+        for batch in batches:
+            keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
             for a, b in tokens.slices(texts):
                 for key, data in zip(keys[a:b], enc.encode(texts[a:b])):
                     yield key, data + end
 
-    def run(frames):
+    @lean
+    def run(batches):
         base, rows = TaskContext.get().partitionId() << 32, []
-        for nth, (length, window) in enumerate(pack_stream(encode(frames), size)):
+        for nth, (length, window) in enumerate(pack_stream(encode(batches), size)):
             offset = 0
             for key, n, start, data in window:
-                row = (None if pd.isna(key) else int(key), start, len(data) // 4, zlib.crc32(data), n, base + nth, offset, length)
+                row = (key, start, len(data) // 4, zlib.crc32(data), n, base + nth, offset, length)
                 rows.append(row + (data,) if with_ids else row)
                 offset += len(data) // 4
             if len(rows) >= (2_000 if with_ids else 50_000):
-                yield frame(rows)
+                yield table(rows)
                 rows = []
         if rows:
-            yield frame(rows)
+            yield table(rows)
 
     columns = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=columns)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+    def table(rows):
+        kinds = [pa.int64()] * (len(columns) - with_ids) + [pa.binary()] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], columns)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)

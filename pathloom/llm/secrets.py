@@ -9,10 +9,12 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, texts_of
+
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "ssh_key", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")  # every assign match has one of these
@@ -75,13 +77,17 @@ def private_der(data: bytes) -> bool:
 
 
 def private_ssh(data: bytes) -> bool:
-    """OpenSSH's container: magic, then length-prefixed strings that fit."""
+    """OpenSSH's container: magic; cipher, derivation and its options; a count of keys; that many public keys and one
+    private part, all length-prefixed. They fill the data exactly."""
     if not data.startswith(b"openssh-key-v1\0"):
         return False
-    at, fields = 15, []
-    for i in range(5):
-        if i == 3:
-            at += 4  # the number of keys
+    at, fields, wanted = 15, [], 4
+    while len(fields) < wanted:
+        if len(fields) == 3 and wanted == 4:
+            wanted = 4 + int.from_bytes(data[at : at + 4], "big")
+            at += 4
+            if wanted == 4:
+                return False
         if at + 4 > len(data):
             return False
         n = int.from_bytes(data[at : at + 4], "big")
@@ -89,7 +95,7 @@ def private_ssh(data: bytes) -> bool:
         if at > len(data):
             return False
         fields.append(n)
-    return fields[0] > 0 and fields[3] > 0 and fields[4] > 0
+    return at == len(data) and fields[0] > 0 and all(fields[3:])
 
 
 def unbase64(text: str) -> bytes | None:
@@ -137,7 +143,7 @@ def signed_token(m: re.Match) -> bool:
         return False
     alg = head["alg"]
     if alg.lower() == "none":
-        return not m[3]
+        return False  # whatever stands behind it signs nothing
     sizes = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,), "EdDSA": (64, 114)}
     sig = unbase64(m[3])
     return bool(sig) and (len(sig) in sizes[alg] if alg in sizes else len(sig) >= 64)
@@ -201,18 +207,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     Repeated rows give equal rows; null doc_ids are kept; other columns are ignored. No shuffle.
     """
 
-    def run(frames):
-        for f in frames:
+    @lean
+    def run(batches):
+        for batch in batches:
             rows = []
-            for text in f["text"]:
+            for text in texts_of(batch):
                 runs = long_run(text)
                 base, more = base_spans(text, runs), confirmed_spans(text, runs)
                 n = [sum(s[0] == k for s in base) for k in KINDS[:3]]
                 rows.append((*n, hashlib.sha256(joined(base, by_start).encode()).hexdigest(), joined(base + more, by_start), len(more)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
-            out.insert(0, "doc_id", f["doc_id"].astype("Int64"))
-            yield out
+            columns = [pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
     )

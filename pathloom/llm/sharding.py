@@ -26,40 +26,29 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["at"]).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, lanes: int | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, lanes: int = 1024) -> DataFrame:
     """Deals rows to shards by doc_id and numbers the rows of a shard without gaps.
 
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 8), text_crc32 (of the UTF-8 bytes; of no bytes
     for null), law 'key', shard, slot, grown_shard (with one shard more). Rows of equal doc_id share a shard; a null
     doc_id is a key like any other. Repeated rows each get a slot. Other columns are ignored.
 
-    Slots: the rows of a shard are split into lanes by another digest of the key. One pass counts rows by shard and
-    lane (a partial sum; the counts are shards x lanes rows), running totals of these counts are the lanes' first
-    slots, and row_number() numbers rows within a lane only, so no task holds a shard. The lanes grow with the rows.
+    Slots: rows equal in doc_id, size and digest are counted first (a partial sum), however many they are. These classes
+    are split into `lanes` lanes a shard by a digest of all three, so that rows of one doc_id spread as well. Running
+    totals of the lanes' counts (shards x lanes rows) are the lanes' first slots, running totals within a lane the
+    classes', and a class's rows follow one another: no task holds a shard, and no number depends on the table's size.
     """
     empty = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", "text")
-    if lanes is None:
-        lanes = max(64, -(-keyed.count() // (shards * 100_000)))
-    lane = (F.conv(F.substring(F.md5(F.concat(F.lit("lane:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long") % lanes).cast("int")
-    rows = keyed.select(
-        "doc_id",
-        (F.octet_length(empty) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(empty.cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        jump_shard(F.col("doc_id"), shards).alias("shard"),
-        jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        lane.alias("lane"),
-    )
-    counts = keyed.select(jump_shard(F.col("doc_id"), shards).alias("shard"), lane.alias("lane")).groupBy("shard", "lane").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(_over("shard", "lane")) - F.col("n")
-    bases = counts.select("shard", "lane", before.alias("base"))
-    nth = F.row_number().over(_over(["shard", "lane"], ["doc_id", "size", "text_crc32"])) - 1
-    return (
-        rows.withColumn("nth", nth)
-        .join(bases, ["shard", "lane"])
-        .select("doc_id", "size", "text_crc32", "law", "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot"), "grown_shard")
-    )
+    sized = docs.select("doc_id", (F.octet_length(empty) + F.lit(8)).cast("long").alias("size"), F.crc32(empty.cast("binary")).alias("text_crc32"))
+    classes = sized.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    digest = F.md5(F.concat_ws(":", F.lit("lane"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"), F.col("text_crc32").cast("string")))
+    lane = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % lanes).cast("int")
+    rows = classes.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1), "lane": lane})
+    counts = classes.select(jump_shard(F.col("doc_id"), shards).alias("shard"), lane.alias("lane"), "n").groupBy("shard", "lane").agg(F.sum("n").alias("n"))
+    bases = counts.select("shard", "lane", (F.sum("n").over(_over("shard", "lane")) - F.col("n")).alias("base"))
+    before = F.sum("n").over(_over(["shard", "lane"], ["doc_id", "size", "text_crc32"])) - F.col("n")
+    each = rows.withColumn("before", before).join(bases, ["shard", "lane"]).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("before") + F.col("nth")).cast("long").alias("slot"), "grown_shard")
 
 
 def _over(by, order):
@@ -89,13 +78,13 @@ tab as (select list(c order by n) as t from (
   from (select unnest(range(256)) as n))),
 d as (
   select doc_id, octet_length(encode(text)) + 8 as size, hex(encode(text)) as h, doc_id::varchar as k from documents),
-c as (
+c1 as (
   select doc_id, size, k,
     xor(4294967295::bigint, list_reduce(
       list_prepend(4294967295::bigint, list_transform(range((len(h) // 2)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
-      lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) as crc,
-    ('0x' || substr(md5('lane:' || k), 1, 8))::bigint % 64 as lane
-  from d, tab)
+      lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) as crc
+  from d, tab),
+c as (select *, ('0x' || substr(md5('lane:' || k || ':' || size || ':' || crc), 1, 8))::bigint % 1024 as lane from c1)
 select c.doc_id, c.size, c.crc as text_crc32, 'key' as law, a.s::int as shard,
        row_number() over (partition by a.s order by c.lane, c.doc_id, c.size, c.crc) - 1 as slot, g.s::int as grown_shard
 from c join a using (k) join g using (k)

@@ -8,13 +8,16 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean, texts_of
+
 #: No word holds an underscore, so a raw token whose EDGES are stripped down to letters and digits is the word TOKEN finds in it.
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
-QUOTES = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]")
+MARKS = re.compile(r"[\"“”«»„\n]")
+CLOSES = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 #: Words that announce a quotation or a mention, in the corpus' languages.
 CUES = frozenset("said says wrote quoted called word term disait écrit mot terme sagte schrieb wort begriff dijo escribió palabra término".split())
 WINDOW = 24
@@ -22,6 +25,21 @@ HEAD = 5
 EDGES = ".,;:!?()[]{}|\"“”«»„'’*#%&$-_/\\<>"
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks of a kind on one line, however long, from left to right."""
+    out, start = [], -1
+    for m in MARKS.finditer(text):
+        c, at = m[0], m.start()
+        if c == "\n":
+            start = -1
+        elif start >= 0 and c in CLOSES[text[start]]:
+            out.append((start, at + 1))
+            start = -1
+        elif start < 0 and c in CLOSES:
+            start = at
+    return out
+
+
 class LexiconAutomaton:
     """Words within an edit distance of a lexicon's terms.
 
@@ -31,7 +49,7 @@ class LexiconAutomaton:
     one of at least 9 by two. A stem (a term that ends in *) also takes any ending.
     """
 
-    def __init__(self, terms: list[str], most_states: int = 200_000):
+    def __init__(self, terms: list[str], most_states: int = 50_000):
         self.terms, self.most = terms, most_states
         self.kids: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
@@ -87,8 +105,7 @@ class LexiconAutomaton:
                 out[node] = e
 
         for node, e in self.parts[state]:
-            if node:  # the first letter of a word is not an inserted one
-                put(node, e + 1)
+            put(node, e + 1)
             for letter, k in self.kids[node].items():
                 put(k, e + (letter != c))
         to = self.intern(out) if out else -1
@@ -139,7 +156,7 @@ class Scorer:
     """Scores texts. A raw token (between white space) that holds no near word is remembered, so that a text whose
     tokens are all known costs a set difference; a worker remembers at most `most` tokens."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.automaton, self.clean, self.most = model, LexiconAutomaton(model.terms), set(), most
         self.dead: set[str] = set()  # first HEAD letters after which no term is near
 
@@ -176,7 +193,7 @@ class Scorer:
         near = self.near(set(low.split()))
         if not near:
             return None
-        quoted = [m.span() for m in QUOTES.finditer(low)]
+        quoted = quotations(low)
         hits, q, cue, i = [], 0, -9, 0
         for i, m in enumerate(TOKEN.finditer(low)):
             w = m[0]
@@ -207,8 +224,9 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_lexicon(texts: list[str], labels: list[int], evidence: float = 14.0, most: int = 400) -> list[str]:
-    """Words, and stems of at least 4 letters (written with *), that tell rows of label 1 from rows of label 0.
+def learn_lexicon(texts: list[str], labels: list[int], evidence: float = 14.0, most: int = 400, stem: int = 13) -> list[str]:
+    """Words, and stems of 4 to `stem` letters (written with *), that tell rows of label 1 from rows of label 0: at most
+    `most` terms, those of the greatest evidence.
 
     A term's support is the smaller of its rows and its distinct left neighbours, so that the words of one much copied
     text count once. Its evidence is the log likelihood ratio of its rows being of label 1 rather than at the overall
@@ -232,14 +250,14 @@ def learn_lexicon(texts: list[str], labels: list[int], evidence: float = 14.0, m
                 rows.setdefault(w, set()).add(r)
                 left.setdefault(w, set()).add(before)
     for w in list(rows):
-        for k in range(4, min(len(w), 14)):
+        for k in range(4, min(len(w), stem + 1)):
             rows.setdefault(w[:k] + "*", set()).update(rows[w])
             left.setdefault(w[:k] + "*", set()).update(left[w])
     support = {t: min(len(x), len(left[t])) for t, x in rows.items()}
     support = {t: x for t, x in support.items() if -x * math.log(rate) >= evidence}
     negative: Counter = Counter()
     for w, k in other.items():
-        for t in (w, *(w[:j] + "*" for j in range(4, min(len(w), 14)))):
+        for t in (w, *(w[:j] + "*" for j in range(4, min(len(w), stem + 1)))):
             if t in support:
                 negative[t] += k
 
@@ -289,49 +307,59 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def train_rows(docs: DataFrame, labels: DataFrame, most: int = 4000) -> list[tuple[str, int]]:
-    """At most `most` labelled texts outside the held-out third, those with the smallest hashes of doc_id."""
+def train_rows(docs: DataFrame, labels: DataFrame, most: int = 4000, most_bytes: int = 64_000_000) -> list[tuple[str, int]]:
+    """At most `most` labelled texts outside the held-out third and `most_bytes` of them, those with the smallest hashes
+    of doc_id; a doc_id of several rows counts once, by the text of the smallest hash."""
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(remainder() != 1)
-    ids = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    # sizes first, so that the texts that go to the driver are known to fit before one of them does
+    sized = rows.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("m"))
+    taken = [(r["doc_id"], r["h"]) for r in sized.select("doc_id", "m.h", F.sum("m.n").over(order).alias("sum")).where(F.col("sum") <= most_bytes).collect()]
+    if not taken:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, h long"))
+    chosen = rows.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).select("doc_id", "text", "toxic").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return [(r["text"], r["toxic"]) for r in sorted(chosen.collect(), key=lambda r: r["doc_id"])]
 
 
 def remainder():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_most: int = 4000) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_most: int = 4000, train_bytes: int = 64_000_000) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below `threshold` (see `score_toxicity`)."""
-    rows = train_rows(docs, labels, train_most)
+    rows = train_rows(docs, labels, train_most, train_bytes)
     model = fit([t for t, _ in rows], [y for _, y in rows])
 
+    @lean
     def run(batches):
-        import pyarrow as pa
-
         scorer = model.scorer()
         for b in batches:
-            yield b.filter(pa.array([scorer.score(t or "") < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([scorer.score(t) < threshold for t in texts_of(b)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_most: int = 4000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_most: int = 4000, train_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, held_out, score in [0, 1], predicted (score >= threshold), one row for each row of `docs`.
 
-    The lexicon and the weights come from at most `train_most` labelled rows whose crc32(doc_id) mod 3 is not 1; the
-    score uses the text alone, all of it. Null texts count as empty; empty texts get the score of a text without hits.
-    A null doc_id is not held out. Rows whose label is null are not learned from; of repeated labels one is used. With no
+    The lexicon and the weights come from at most `train_most` labelled rows, of `train_bytes` of text together, whose
+    crc32(doc_id) mod 3 is not 1; the lexicon has at most 400 terms and no stem of over 13 letters. The score uses the
+    text alone, all of it. Null texts count as empty; empty texts get the score of a text without hits. A null doc_id is
+    not held out. Rows whose label is null are not learned from; a doc_id labelled both ways counts as toxic. With no
     labels of both kinds every score is 0.5 or the prior's. Repeated rows get equal scores; other columns are ignored.
     """
-    rows = train_rows(docs, labels, train_most)
+    rows = train_rows(docs, labels, train_most, train_bytes)
     model = fit([t for t, _ in rows], [y for _, y in rows])
 
-    def run(frames):
+    @lean
+    def run(batches):
         scorer = model.scorer()
-        for f in frames:
-            s = [scorer.score(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "score": s, "predicted": [int(x >= threshold) for x in s]})
+        for b in batches:
+            s = np.array([scorer.score(t) for t in texts_of(b)], dtype=float)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False))).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    d = docs.select(F.col("doc_id").cast("long"), "text")
+    return d.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False))).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
