@@ -78,6 +78,20 @@ def lean(fn):
     return run
 
 
+def small_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+    """Arrow batches of texts end at `most` bytes, so that neither side of a worker holds more than a few of them. A
+    session that sets the bytes itself keeps its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864"):
+        spark.conf.set(key, str(most))
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id and text, for functions of mapInArrow."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text")
+
+
 def texts_of(batch: pa.RecordBatch) -> list[str]:
     """The texts of a batch, null ones as empty."""
     return [t or "" for t in batch.column("text").to_pylist()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, WordHashes, lean, run_hash, texts_of
+from .common import U64, Scratch, WordHashes, documents, lean, run_hash, small_batches, texts_of
 from .idfiles import filesystem
 from .tokens import slices
 
@@ -141,7 +141,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, similarity: float = 0.8, b
     Each block is one pass over all documents without a shuffle, in which a task reads the block for itself, so neither
     side has to fit on the driver or in one task.
     """
-    d = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    d = documents(docs).where("text is not null")
 
     def over(folder):
         @lean
@@ -176,6 +176,7 @@ def reject_contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0
 
         return run
 
+    small_batches(docs.sparkSession)
     for folder in blocks_of(items, block_bytes):
         docs = docs.mapInArrow(over(folder), docs.schema)
     return docs

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
-from .common import lean, texts_of
+from .common import documents, lean, texts_of
 
 MAGIC = b"PLEF0001"
 EVERY = 64  # a select sample for each so many values
@@ -169,7 +169,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
     """
     path = tokenizer or tokens.public_tokenizer("byte_bpe_50k.json")
     width = 2 if max(tokens.encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    d = docs.select(F.col("doc_id").cast("long"), "text")
+    d = documents(docs)
     rows = d.count()
     shards = max(1, min(most_shards, -(-rows // rows_per_shard)))
     key = F.coalesce("doc_id", F.lit(LEAST))

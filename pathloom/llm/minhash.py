@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, WordHashes, components, lean, mix, run_hash, texts_of
+from .common import U64, Scratch, WordHashes, components, documents, lean, mix, run_hash, texts_of
 
 #: What is compared at once: so many documents, of so many shingles together, or one document that has more.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ta
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     t = similarity
-    d = docs.select(F.col("doc_id").cast("long"), "text")
+    d = documents(docs)
 
     @lean
     def sign(batches):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import lean, texts_of
+from .common import documents, lean, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long"
 
@@ -150,4 +150,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
         kinds = [pa.int64()] * (len(columns) - with_ids) + [pa.binary()] * with_ids
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], columns)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return documents(docs).mapInArrow(run, PIECES + ", ids binary" * with_ids)

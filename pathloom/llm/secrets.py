@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, texts_of
+from .common import documents, lean, texts_of
 
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "ssh_key", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -201,7 +201,7 @@ def by_start(span) -> tuple:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """Scans every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed.
+    """Scans every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed, n_spans.
 
     Spans are kind:start:end in code points, the end exclusive. A null text counts as empty and gives no spans.
     Repeated rows give equal rows; null doc_ids are kept; other columns are ignored. No shuffle.
@@ -215,11 +215,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 runs = long_run(text)
                 base, more = base_spans(text, runs), confirmed_spans(text, runs)
                 n = [sum(s[0] == k for s in base) for k in KINDS[:3]]
-                rows.append((*n, hashlib.sha256(joined(base, by_start).encode()).hexdigest(), joined(base + more, by_start), len(more)))
-            columns = [pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),))]
+                rows.append((*n, hashlib.sha256(joined(base, by_start).encode()).hexdigest(), joined(base + more, by_start), len(more), len(base) + len(more)))
+            columns = [pa.array(v, k) for v, k in zip(zip(*rows), (pa.int64(),) * 3 + (pa.string(),) * 2 + (pa.int64(),) * 2)]
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
+    return documents(docs).mapInArrow(
+        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long, n_spans long"
     )

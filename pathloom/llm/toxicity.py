@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, texts_of
+from .common import documents, lean, small_batches, texts_of
 
 #: No word holds an underscore, so a raw token whose EDGES are stripped down to letters and digits is the word TOKEN finds in it.
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
@@ -330,6 +330,7 @@ def remainder():
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_most: int = 4000, train_bytes: int = 64_000_000) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below `threshold` (see `score_toxicity`)."""
+    small_batches(docs.sparkSession)
     rows = train_rows(docs, labels, train_most, train_bytes)
     model = fit([t for t, _ in rows], [y for _, y in rows])
 
@@ -361,5 +362,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, t
             s = np.array([scorer.score(t) for t in texts_of(b)], dtype=float)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    d = docs.select(F.col("doc_id").cast("long"), "text")
+    d = documents(docs)
     return d.withColumn("held_out", F.coalesce(remainder() == 1, F.lit(False))).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -15,6 +15,34 @@ from pathloom.llm.common import WordHashes, components, Scratch
 from .conftest import words
 
 
+# ---- ids ---------------------------------------------------------------------------------------------------------
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls(spark, tmp_path):
+    """A null among ids makes no float of them."""
+    item = " ".join(words(1, 30))
+    d = spark.createDataFrame([(BIG, item), (None, item + " x"), (-BIG, "you idiot"), (2**63 - 1, ""), (-(2**63), None)], "doc_id long, text string").coalesce(1)
+    want = {BIG, None, -BIG, 2**63 - 1, -(2**63)}
+    labels = spark.createDataFrame([(BIG, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(BIG, item), (None, item)], "item_id long, text string")
+    for out in (
+        packing.pack_documents(d),
+        secrets.find_secrets(d),
+        pii.find_pii(d, examples=30, epochs=1),
+        idfiles.token_files(d, str(tmp_path / "ids"), rows_per_shard=2),
+        toxicity.score_toxicity(d, labels),
+        minhash.near_duplicates(d),
+        sharding.shard_documents(d),
+        lines.dedup_lines(d),
+    ):
+        assert {r.doc_id for r in out.collect()} == want
+    found = decontam.find_benchmark(d, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(BIG, BIG), (BIG, None), (None, BIG), (None, None)}
+    assert {r.doc_id for r in toxicity.reject_toxic(d, labels).collect()} == want
+
+
 # ---- embeddings --------------------------------------------------------------------------------------------------
 
 
@@ -63,6 +91,22 @@ def test_link_vectors(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.link_vectors(single).where("vec_id is not null").collect()}
     assert got.keys() == exact.keys() and sum(v[0] for v in got.values()) >= 0.99 * sum(v[0] for v in exact.values())
     assert embeddings.link_vectors(df.limit(0)).count() == 0
+    many = df.select("vec_id", "label", "embedding").union(spark.createDataFrame([(None, None, None)] * 3, "vec_id long, label int, embedding array<double>"))
+    assert embeddings.link_vectors(many).where("vec_id is null").count() == 4  # a row for each row without an id
+
+
+def test_three_blocks_find_the_links_as_well(spark):
+    """The setting of tables of over two million rows; pairs lie just above the threshold."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((400, 64))
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.9802 * x + np.sqrt(1 - 0.9802**2) * side
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+    got = embeddings.link_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), blocks=3, words=24)
+    assert got.where("n_links = 1").count() >= 0.98 * 800
 
 
 def test_components(spark):
@@ -95,6 +139,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[i] for i in range(len(rows))] == root
 
 
+@pytest.mark.parametrize("turns", [1, 3])
+def test_near_duplicates_in_many_blocks(spark, monkeypatch, turns):
+    """A large group of which few are linked to the smallest one: several blocks, and stars after the first."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng, base, rows = random.Random(7), words(1, 120), []
+    for i in range(150):
+        w = list(base)
+        for p in rng.sample(range(120), 2 if i % 3 else 8):  # eight edits break up to forty of the runs of five
+            w[p] = f"e{i}x{p}"
+        rows.append((i, " ".join(w)))
+    hashes = WordHashes()
+    marks = [minhash.labelled(minhash.shingles(hashes.words(t), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if minhash.aligned(marks[a], marks[b], 0.8)[0]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tables=40, minima=1, turns=turns).collect()}
+    assert [got[i] for i in range(len(rows))] == root and 1 < len(set(root)) < 150
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:20]]
+    assert minhash.common_counts(sets[:20], sets[20:]).tolist() == want
+
+
 def test_aligned():
     m = lambda w: minhash.labelled(minhash.shingles(WordHashes().words(" ".join(w)), 5))
     w = words(3, 200)
@@ -119,7 +192,10 @@ def test_near_edge(edge, nothing):
 
 def test_lines(edge, nothing, spark):
     got = {}
-    for r in lines.dedup_lines(edge, keep=("rep",)).collect():
+    clash = edge.selectExpr("*", "'g' as gone", "7 as n_lines", "'2' as k2", "'f' as first", "9 as w")
+    for r in lines.dedup_lines(clash, keep=("rep", "k1", "k2", "gone", "n_lines", "first", "w")).collect():
+        if r.doc_id is not None:
+            assert r.kept.asDict() == {"rep": 1, "k1": "k", "k2": "2", "gone": "g", "n_lines": 7, "first": "f", "w": 9}
         got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_removed))
     assert got[8] == [("a b c\nd e f\ng h i\nj", 4, 0)] and got[9] == [("x\ny", 5, 3)]
     assert got[0] == [(None, 0, 0)] and got[1] == [("", 1, 0)] and len(got[3]) == 3
@@ -232,6 +308,15 @@ def test_token_files(edge, nothing, edge_rows, tmp_path):
     assert idfiles.token_files(nothing, str(tmp_path / "b")).count() == 0
 
 
+def test_a_hot_doc_id_gets_several_shards(spark, tmp_path):
+    rows = [(None, f"x {i}") for i in range(40)] + [(7, "same")] * 40 + [(i, "y") for i in range(20)]
+    shards = idfiles.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path), rows_per_shard=10)
+    assert max(s["n_docs"] for s in shards) <= 30 and sum(s["n_docs"] for s in shards) == 100
+    got = idfiles.read_ids(spark, str(tmp_path), shards).orderBy("start").collect()
+    keys = [r.doc_id for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(100)]
+
+
 # ---- sharding ----------------------------------------------------------------------------------------------------
 
 
@@ -302,6 +387,43 @@ def test_base_secrets():
     assert not secrets.base_spans("to\u212aen=abcdefg")  # the Kelvin sign is not a k
 
 
+def test_secrets_against_plain_patterns(spark):
+    """The whole query: base spans by the contract's own patterns, added ones by what was planted."""
+    import hashlib
+    import re
+
+    rng = random.Random(12)
+    patterns = {
+        "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+        "access": re.compile(r"AKIA[A-Z0-9]+"),
+        "hex": re.compile(r"[0-9a-f]+"),
+    }
+    good = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    bits = ["password=", "Token: ", "api_key='", "abc", "hunter22x", " ", "\n", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é\U0001f600", "."]
+    rows, want = [], {}
+    for i in range(300):
+        text, added = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))), []
+        if i % 3 == 0:
+            text += " k "
+            added = [("der_key", len(text), len(text) + len(b64(EC)))]
+            text += b64(EC) + " end"
+        base = [(k, *m.span()) for k, p in patterns.items() for m in p.finditer(text) if good[k](m)]
+        by = lambda x: (x[1], secrets.KINDS.index(x[0]), x[2])
+        said = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(x, key=by))
+        rows.append((i, text))
+        want[i] = (*(sum(s[0] == k for s in base) for k in patterns), hashlib.sha256(said(base).encode()).hexdigest(), said(base + added))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_whole_containers_and_signed_tokens_only():
+    part = lambda x: struct.pack(">I", len(x)) + x
+    ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + struct.pack(">I", 1) + part(b"p" * 51) + part(b"s" * 136)
+    assert secrets.private_ssh(ssh) and not secrets.private_ssh(ssh + b"x") and not secrets.private_ssh(ssh[:-1])
+    none = url(b'{"alg": "none"}') + "." + url(b'{"sub": 1}') + "."
+    assert not secrets.confirmed_spans(f"see {none} now", True)
+
+
 def test_secrets_edge(edge, nothing):
     rows = secrets.find_secrets(edge).collect()
     assert len(rows) == edge.count() and all(r.spans == "" for r in rows) and secrets.find_secrets(nothing).count() == 0
@@ -310,18 +432,103 @@ def test_secrets_edge(edge, nothing):
 # ---- personal data -----------------------------------------------------------------------------------------------
 
 
-def test_pii():
-    model = pii.trained(300, 8)
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.trained(())
+
+
+def test_pii(tagger):
     rng = random.Random(77)
     ex = [pii.example(rng) for _ in range(200)]
-    want = {(i, pii.MODEL[k], a, b) for i, (t, s) in enumerate(ex) for k, a, b in s if pii.plausible(k, t[a:b])}
-    got = {(i, *s) for i, x in enumerate(pii.model_spans([t for t, _ in ex], model, [[] for _ in ex])) for s in x}
-    assert len(got & want) > 0.85 * len(want) and len(got & want) > 0.9 * len(got)
-    # windows are reconciled: a span on a window's edge comes out once and whole, wherever it lies
-    for at in range(40, 60, 4):
-        t = "ti re " * 20
+    want = {(i, pii.MODEL[k], a, b) for i, (t, s) in enumerate(ex) for k, a, b in s}
+    got = {(i, *s) for i, x in enumerate(pii.model_spans([t for t, _ in ex], tagger, [[] for _ in ex])) for s in x}
+    assert len(got & want) > 0.8 * len(want) and len(got & want) > 0.85 * len(got)
+    # a span on a window's edge comes out once and whole, wherever it lies
+    for at in range(150, 240, 9):
+        t = "ti re " * 60
         t = t[:at].rstrip() + " mail ab.42@mail3.example.com and" + t[at:]
-        assert len(pii.model_spans([t], model, [[]])[0]) == 1
+        found = pii.model_spans([t], tagger, [[]])[0]
+        assert [t[a:b] for _, a, b in found] == ["ab.42@mail3.example.com"]
+
+
+def test_pii_on_text_that_no_generator_made(tagger):
+    """Sentences written for this test, with spans that the base patterns don't have, and others with none."""
+    yes = [
+        ("Please call (212) 555-0147 before noon, she said.", "(212) 555-0147"),
+        ("Reach the desk at 646-555-0112 any weekday.", "646-555-0112"),
+        ("You can write to maria @ example.com about it.", "maria @ example.com"),
+        ("Contact: jlopez(at)example.org for the minutes.", "jlopez(at)example.org"),
+        ("The account is DE44 5001 0517 5407 3249 31 as agreed.", "DE44 5001 0517 5407 3249 31"),
+    ]
+    no = ["The meeting is on 2021-03-14 at 10:30:00 in room 12.", "It cost $129.99 in 1998 and 1,204.50 later.", "Version v2.4.11 fixed #104233 and 3/4 of the rest.", "Nothing to see here, only words and words again."]
+    found = pii.model_spans([t for t, _ in yes] + no, tagger, [[] for _ in range(len(yes) + len(no))])
+    hits = sum(any(t[a:b] == want for _, a, b in f) for (t, want), f in zip(yes, found))
+    assert hits >= 3 and sum(map(len, found[len(yes) :])) <= 1
+
+
+def paths_of(n):
+    from itertools import product
+
+    return product(range(pii.TAGS), repeat=n)
+
+
+def test_crf_against_all_paths(monkeypatch):
+    m, rng = pii.Tagger(embed=3, hidden=2), np.random.default_rng(3)
+    m.p["T"] = rng.standard_normal((pii.TAGS, pii.TAGS))
+    c, y = rng.integers(0, 40, (2, 3)), np.array([[0, 1, 2], [3, 4, 0]])
+    tr, s = m.transitions(), m.scores(c).astype(np.float64).transpose(2, 1, 0)
+    score = lambda r, p, inner: sum(s[r, t, k] for t, k in enumerate(p)) + sum(tr[a, b] for a, b in zip(p, p[1:])) + (0 if inner else tr[0, p[0]] + tr[p[-1], 0])
+    loss, g = m.loss(c, y)
+    want = np.mean([np.logaddexp.reduce([score(r, p, True) for p in paths_of(3)]) - score(r, y[r], True) for r in (0, 1)])
+    assert abs(loss - want) < 1e-4
+    best = [max(paths_of(3), key=lambda p: score(r, p, False)) for r in (0, 1)]
+    assert [tuple(p) for p in m.viterbi(s).tolist()] == best
+    for name, v in m.p.items():  # central differences
+        for at in list(np.ndindex(v.shape))[:: max(1, v.size // 5)]:
+            if name == "T" and not m.allowed[at]:
+                continue
+            keep, e = v[at], 1e-5
+            v[at] = keep + e
+            up = m.loss(c, y)[0]
+            v[at] = keep - e
+            down = m.loss(c, y)[0]
+            v[at] = keep
+            assert abs((up - down) / (2 * e) - g[name][at]) < 1e-5
+
+
+def test_open_stretches_lose_nothing(tagger):
+    rng = random.Random(5)
+    for _ in range(40):
+        t = pii.example(rng)[0]
+        c = pii.codes(t)[None]
+        s = tagger.scores(c)[:, :, 0]
+        s = s + np.random.default_rng(len(t)).standard_normal(s.shape).astype(np.float32) * 2  # spans of every length
+        whole = list(tagger.decode(s, np.array([0]), np.array([len(t)])))
+        assert sorted(tagger.decode(s, *tagger.open_stretches(s))) == sorted(whole)
+    texts = [pii.example(rng)[0] for _ in range(30)] + ["", "x"]
+    one_by_one = [pii.model_spans([t], tagger, [[]])[0] for t in texts]
+    assert pii.model_spans(texts, tagger, [[] for _ in texts]) == one_by_one
+
+
+def test_base_pii_is_linear_and_the_patterns():
+    import re
+    import time
+
+    plain = {
+        "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    }
+    rng = random.Random(8)
+    for _ in range(4000):
+        t = "".join(rng.choice("a1.@-_ 2") for _ in range(rng.randint(0, 24)))
+        want = [("email", *m.span()) for m in plain["email"].finditer(t)]
+        want += [("ip", *m.span()) for m in plain["ip"].finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii.base_spans(t) if s[0] in plain] == want, t
+    began = time.perf_counter()
+    for t in ("7" * 1_000_000, "@ " + "a" * 1_000_000, "1." * 500_000, "a." * 500_000 + "@", "+1" + "(" * 1_000_000, "a@" * 500_000):
+        pii.base_spans(t)
+        secrets.base_spans(t)
+    assert time.perf_counter() - began < 20
 
 
 def test_base_pii():
@@ -412,7 +619,8 @@ def test_automaton_is_the_edit_distance():
             p = rng.randrange(len(w) + 1)
             w[p : p + rng.randint(0, 1)] = rng.choice(["", "a", "o", "t"])
         w = "".join(w)
-        near = {i: levenshtein(t, w) for i, t in enumerate(terms) if w and t[0] == w[0]}
+        w = rng.choice(["", "", "x", "i"]) + w
+        near = {i: levenshtein(t, w) for i, t in enumerate(terms)}
         near = {i: e for i, e in near.items() if e <= auto.may[i]}
         got = auto.match(w) if w else None
         if near:
@@ -441,6 +649,44 @@ def test_toxicity_learns_and_generalises():
     assert toxicity.fit([], []).scorer().score("x") == 0.5
 
 
+def test_toxicity_score_against_a_plain_one():
+    """The score by the definition: every word held against every term, quotations by hand."""
+    import math
+
+    terms, rng = ["idiot", "worthless", "scum*"], random.Random(3)
+    model = toxicity.Model(terms, {(i, e): 4.0 - 0.5 * i - e for i in range(3) for e in range(3)}, np.array([0.7, 0.9, 0.4, -0.8, -2.0]))
+    s = model.scorer()
+    bag = ["idiot", "idiiot", "xidiot", "worthles", "worthless", "scum", "scumbags", "the", "house", "said", "of", "an"]
+    for _ in range(300):
+        w = [rng.choice(bag) for _ in range(rng.randint(1, 60))]
+        a, b = sorted(rng.sample(range(len(w) + 1), 2)) if len(w) > 1 else (0, 0)
+        text = " ".join(w[:a] + (['"'] + w[a:b] + ['"'] if b > a else []) + w[b:])
+        hits, cue = [], -9
+        for i, x in enumerate(w):
+            if x == "said":
+                cue = i
+            near = []
+            for k, t in enumerate(terms):
+                core = t.rstrip("*")
+                e = min(levenshtein(core, x[:n]) for n in range(len(x) + 1)) if t.endswith("*") else levenshtein(core, x)
+                if e <= (0 if len(core) < 5 else 1 if len(core) < 9 else 2):
+                    near.append((e, k))
+            if near:
+                e, k = min(near)
+                quoted = i - cue <= 3 or a <= i < b
+                hits.append((i, model.weights[k, e] * (0.25 if quoted else 1), quoted))
+        x = [0, 0, 0, 0, 1.0]
+        if hits:
+            best = max(sum(v for j, v, _ in hits if 0 <= i - j <= toxicity.WINDOW) for i, _, _ in hits)
+            x = [math.log1p(sum(v for _, v, _ in hits)), min(best, 12) / 4, min(100 * len(hits) / len(w), 10) / 5, sum(q for *_, q in hits) / len(hits), 1.0]
+        assert abs(s.score(text) - 1 / (1 + math.exp(-float(np.dot(x, model.coefficients))))) < 1e-9
+
+
+def test_quotations_of_any_length():
+    long = "«" + "x" * 5000 + "»"
+    assert toxicity.quotations(f'a "b c" {long} “d\n” „e“ "f') == [(2, 7), (8, 5010), (5016, 5019)]
+
+
 def test_toxic_words_in_underscores():
     s = toxicity.Model(["idiot"], {(0, 0): 4.0, (0, 1): 2.0}, np.ones(5)).scorer()
     plain = s.features("you are an idiot")
