@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -40,7 +40,8 @@ def pairs(left: DataFrame, right: DataFrame | None = None, blocks: int = 16, by:
     there, as two nulls are.
 
     A Gram matrix is a whole product by definition. Both sides are dealt to blocks and sent to the block pairs they
-    belong to, so that the product is an equi-join spread over blocks * blocks keys and neither side is broadcast.
+    belong to, so that the product is an equi-join spread over blocks * blocks keys. A kernel costs far more than a row's
+    way there: one side is dealt to three tasks a core by its keys, however few files or bytes it comes from.
     """
     one = right is None
     r = left if one else right
@@ -48,18 +49,30 @@ def pairs(left: DataFrame, right: DataFrame | None = None, blocks: int = 16, by:
     same = [] if by is None else [F.struct(by).alias("same")]
     a = left.select(*same, F.col("key").alias("i"), F.col("path").alias("pa"), F.pmod(F.xxhash64("key"), n).alias("g")).withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
     b = r.select(*same, F.col("key").alias("j"), F.col("path").alias("pb"), F.pmod(F.xxhash64("key"), n).alias("h")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    tasks = 3 * left.sparkSession.sparkContext.defaultParallelism
+    a = a.repartition(tasks, *(["same"] * bool(same)), "g", "h")
     out = a.join(b, ["same"] * bool(same) + ["g", "h"]).select("i", "j", "pa", "pb")
     return out.where("i <= j") if one else out
 
 
 def mirror(upper: DataFrame) -> DataFrame:
-    return upper.unionByName(upper.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
+    """Both halves from i <= j: a row off the diagonal becomes two, after its kernel was evaluated once."""
+    one, other = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(F.array(one, other))
+    return upper.select(F.explode(both).alias("at"), "k").select("at.i", "at.j", "k")
 
 
-def gram(k: Column, left: DataFrame, right: DataFrame | None = None, blocks: int = 16, by: str | None = None) -> DataFrame:
-    """(i, j, k). With one sample, only i <= j is computed and the rest mirrored. With `by`, a matrix for each of its values."""
+def blocks_for(*sides: DataFrame, points: int = 4096) -> int:
+    """The blocks of a side so that a block pair has about points * points cells, at least 16: a count of the rows."""
+    return max(16, -(-max(s.count() for s in sides) // points))
+
+
+def gram(k: Column, left: DataFrame, right: DataFrame | None = None, blocks: int | None = None, by: str | None = None, half: bool = False) -> DataFrame:
+    """(i, j, k). With one sample, only i <= j is computed, and the rest mirrored unless `half`, which is what the scores
+    and discrepancies need. With `by`, a matrix for each of its values."""
+    blocks = blocks or blocks_for(left, *([] if right is None else [right]))
     out = pairs(left, right, blocks, by).select("i", "j", k.alias("k"))
-    return mirror(out) if right is None else out
+    return mirror(out) if right is None and not half else out
 
 
 def gradients(fn, left: DataFrame, right: DataFrame, weights: DataFrame | None = None, blocks: int = 16) -> DataFrame:
@@ -77,14 +90,11 @@ def gradients(fn, left: DataFrame, right: DataFrame, weights: DataFrame | None =
 
 
 def normalized(g: DataFrame) -> DataFrame:
-    """k / sqrt(k_ii k_jj), NaN where that product is not positive; g is one sample's matrix."""
-    diagonal = g.where("i = j").select("i", F.col("k").alias("d"))
-    p = F.col("di") * F.col("dj")
-    return (
-        g.join(diagonal.withColumnRenamed("d", "di"), "i")
-        .join(diagonal.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
-        .select("i", "j", F.when(p > 0, F.col("k") / F.sqrt(p)).otherwise(F.lit(float("nan"))).alias("k"))
-    )
+    """k / sqrt(k_ii k_jj), NaN where that product is not positive; g is one sample's matrix, whole or half. The diagonal
+    comes by windows over rows and columns, so that each kernel is evaluated once."""
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("k")))
+    p = own.over(Window.partitionBy("i")) * own.over(Window.partitionBy("j"))
+    return g.withColumn("p", p).select("i", "j", F.when(F.col("p") > 0, F.col("k") / F.sqrt("p")).otherwise(F.lit(float("nan"))).alias("k"))
 
 
 def off_diagonal_mean(g: DataFrame) -> Column:

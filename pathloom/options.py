@@ -203,7 +203,8 @@ def corner_metric(what, kernel):
     def run(spark, d):
         v = corners(spark, d)
         a, b = v.where("label = 0"), v.where("label = 1")
-        xx, yy, xy = gram.gram(kernel(), a), gram.gram(kernel(), b), gram.gram(kernel(), a, b)
+        half = what != "gram"
+        xx, yy, xy = gram.gram(kernel(), a, half=half), gram.gram(kernel(), b, half=half), gram.gram(kernel(), a, b)
         if what == "gram":
             return xx.select("i", "j", F.round("k", 9).alias("k"))
         out = {"score": lambda: gram.score(xx, xy), "expected": lambda: gram.expected_score(xx, xy), "mmd": lambda: gram.mmd(xx, yy, xy)}[what]()
