@@ -381,8 +381,11 @@ def trained(texts: tuple[str, ...] = (), examples: int = 600, epochs: int = 8) -
 
 def sample(docs: DataFrame, most: int = 200, most_bytes: int = 4000) -> tuple[str, ...]:
     """At most `most` texts of at most `most_bytes` bytes each, those with the smallest hashes: what a model is trained on."""
-    short = docs.select("text").where(F.octet_length("text").between(1, most_bytes)).distinct()
-    return tuple(r["text"] for r in short.orderBy(F.xxhash64("text"), "text").limit(most).collect())
+    # digests first, so that the driver gets no text but those that are taken
+    short = docs.select("text", F.xxhash64("text").alias("h")).where(F.octet_length("text").between(1, most_bytes))
+    taken = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(most).collect()]
+    rows = short.where(F.col("h").isin(taken)).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return tuple(r["text"] for r in sorted(rows, key=lambda r: r["h"]))
 
 
 def plausible(kind: int, text: str) -> bool:
