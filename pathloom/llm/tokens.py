@@ -29,7 +29,7 @@ class ChunkEncoder:
     ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -127,11 +127,12 @@ def slices(texts: list[str], chars: int = 2_000_000):
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, kind: type[ChunkEncoder] = ChunkEncoder) -> ChunkEncoder:
-    """One encoder a worker, file and kind."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = kind(path)
-    return _ENCODERS[path, kind]
+def encoder(path: str, kind: type[ChunkEncoder] = ChunkEncoder, most: int = 600_000) -> ChunkEncoder:
+    """One encoder a worker: the one that it last asked for."""
+    if (path, kind, most) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kind, most] = kind(path, most)
+    return _ENCODERS[path, kind, most]
 
 
 def ids(data: bytes) -> np.ndarray:
