@@ -122,10 +122,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches):
-        enc = tokens.encoder(path, most=cache)
+        enc = tokens.encoder(path, tokens.BatchEncoder, cache)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, 8_000_000):
                 for key, data in zip(keys[a:b], enc.encode(texts[a:b])):
                     yield key, data + end
 
