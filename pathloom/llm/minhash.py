@@ -97,8 +97,9 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     keep = shared[inverse]
     who, column, first = who[keep], column[inverse][keep], np.arange(len(inverse))[keep] < cut
     out = np.zeros((len(a), len(b)), dtype=np.float32)
-    wide = max(256, 8_000_000 // (len(a) + len(b)))
-    for at in range(0, int(shared.sum()), wide):
+    total = int(shared.sum())
+    wide = min(total, max(256, 8_000_000 // (len(a) + len(b))))  # no wider than what there is: most blocks are small
+    for at in range(0, total, wide or 1):
         inside = (column >= at) & (column < at + wide)
         x, y = np.zeros((len(a), wide), dtype=np.float32), np.zeros((len(b), wide), dtype=np.float32)
         x[who[inside & first], column[inside & first] - at] = 1
