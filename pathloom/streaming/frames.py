@@ -85,12 +85,12 @@ def _stateful(stream: DataFrame, key: str, order: list[str], channels: list[str]
     return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_windows(stream: DataFrame, key: str, order: list[str], channels: list[str], degree: int, window: int, stride: int = 1, **how) -> DataFrame:
-    """Append-mode rows (key, win, s) as windows of a key fill up. Points must reach a key in order across batches;
+def stream_windows(stream: DataFrame, key: str, order: list[str], channels: list[str], degree: int, window: int, stride: int = 1, kind: type = state.SigWindowStream, **how) -> DataFrame:
+    """Append-mode rows (key, win, s) as windows of a key fill up; `kind` is a window class of `state`, which takes `how`. Points must reach a key in order across batches;
     within a micro-batch they are sorted. State: at most one window of points a key."""
 
     def make():
-        s = state.SigWindowStream(len(channels), degree, window, stride, **how)
+        s = kind(len(channels), degree, window, stride, **how)
         s.count = 0
         return s
 
@@ -104,9 +104,10 @@ def stream_windows(stream: DataFrame, key: str, order: list[str], channels: list
     return _stateful(stream, key, order, channels, make, take, "key long, win long, s array<double>")
 
 
-def stream_signatures(stream: DataFrame, key: str, order: list[str], channels: list[str], degree: int) -> DataFrame:
-    """Append-mode rows (key, n, s): the signature of all points so far, after each micro-batch. State: one
-    signature and the last point a key."""
+def stream_signatures(stream: DataFrame, key: str, order: list[str], channels: list[str], degree: int, planar: bool | None = None, method: int | None = None) -> DataFrame:
+    """Append-mode rows (key, n, s): the signature of all points so far, after each micro-batch; the branched one where
+    `planar` is given, its logarithm where `method` is. State: one signature and the last point a key."""
+    algebra = state.Algebra(len(channels), degree, planar, method)
 
     def make():
         return {"last": None, "s": None, "n": 0}
@@ -114,9 +115,9 @@ def stream_signatures(stream: DataFrame, key: str, order: list[str], channels: l
     def take(s, x):
         x = x[None]
         path = x if s["last"] is None else np.concatenate([s["last"], x], axis=1)
-        new = tensor.sig(path, degree)
-        s["s"] = new if s["s"] is None else tensor.combine(s["s"], new, x.shape[2], degree)
+        new = algebra.of(path)
+        s["s"] = new if s["s"] is None else algebra.times(s["s"], new)
         s["last"], s["n"] = x[:, -1:], s["n"] + x.shape[1]
-        return [(s["n"], [float(v) for v in s["s"][0]])]
+        return [(s["n"], [float(v) for v in algebra.out(s["s"])[0]])]
 
     return _stateful(stream, key, order, channels, make, take, "key long, n long, s array<double>")

@@ -80,3 +80,23 @@ def test_structured_streaming(spark, points, tmp_path):
     got = {(r.key, r.win): r.s for r in spark.table("wins").collect()}
     want = {(r.key, r.win): r.s for r in frames.window_features(points, 5, 3, features.sig("path", 2)).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_structured_streaming_of_logs_and_trees(spark, points, tmp_path):
+    few = points.where("key in (3, 4)")
+    few.where("i < 20").coalesce(1).write.parquet(f"{tmp_path}/in")
+    few.where("i >= 20").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    xy = ["x0", "x1"]
+    found = {
+        "logwins": (frames.stream_windows(stream, "key", ["i"], xy, 3, 5, 3, kind=state.LogSigWindowStream), state.LogSigWindowStream(2, 3, 5, 3)),
+        "treelogs": (frames.stream_signatures(stream, "key", ["i"], xy, 2, planar=False, method=0), state.BranchedLogSigStream(2, 2, False, 0)),
+    }
+    rows = {k: [r.x for r in few.where(f"key = {k}").orderBy("i").selectExpr("array(x0, x1) as x").collect()] for k in (3, 4)}
+    for name, (df, one) in found.items():
+        df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        for k, x in rows.items():
+            got = [r.s for r in spark.table(name).where(f"key = {k}").orderBy("win" if name == "logwins" else "n").collect()]
+            s = type(one)(2, 3, 5, 3) if name == "logwins" else type(one)(2, 2, False, 0)
+            s.push_batch(np.array(x))
+            assert np.allclose(got, s.sig()) if name == "logwins" else np.allclose(got[-1], s.sig(0, 1))
