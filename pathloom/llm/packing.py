@@ -106,7 +106,7 @@ def pack_stream(docs, size: int = 2048, least: int = 256):
         yield (part if part & (part - 1) == 0 else size), window
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, with_ids: bool = False, cache: int = 600_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, with_ids: bool = False, cache: int = 600_000, chars: int = 8_000_000) -> DataFrame:
     """Packs documents into windows of at most `size` ids; a row is a piece of a document.
 
     A document's ids are the tokenizer's for its whole text, then `end_id`; a null or empty text has that id alone.
@@ -116,7 +116,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
 
     Every input partition is packed by itself as it streams past, with no shuffle: a task holds its open windows
     only, and pads less than one window. sequence_id is the partition's number and a number within it, so a task that
-    runs again yields the same windows. A worker keeps the ids of `cache` chunks of text: more of them save time, not work.
+    runs again yields the same windows. A worker keeps the ids of `cache` chunks of text, and encodes texts of about `chars`
+    characters at once: more of either save time, not work, and take memory.
     """
     path = tokenizer or tokens.public_tokenizer("word_bpe_49k.json")
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -125,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
         enc = tokens.encoder(path, tokens.BatchEncoder, cache)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for a, b in tokens.slices(texts, 8_000_000):
+            for a, b in tokens.slices(texts, chars):
                 for key, data in zip(keys[a:b], enc.encode(texts[a:b])):
                     yield key, data + end
 
