@@ -51,8 +51,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in windows of 2048 ids; with less kept by a worker, which has run other stages before."""
-    return packing.pack_documents(docs, cache=200_000)
+    """The pieces of the documents in windows of 2048 ids; with less held by a worker, which has run other stages before."""
+    return packing.pack_documents(docs, cache=200_000, chars=2_000_000)
 
 
 STAGES = [
