@@ -19,8 +19,8 @@ def dedup_lines(docs: DataFrame, window: int = 3, keep: tuple[str, ...] = ()) ->
     that repeat both doc_id and text are one document given twice: they get the same result. The columns named in `keep`
     come along within one struct column `kept`, so that no name of theirs can clash; others are ignored.
 
-    The hash of a hot window meets in a partial minimum first. Repeated hashes and marks are written, so that Spark knows
-    their sizes: it broadcasts them where they are small, and else can split a hot hash in the join.
+    The hash of a hot window meets in a partial minimum first. Repeated hashes and marks are written. Both joins are
+    merge joins at every size, as marks grow with the documents, and a hot hash can be split in them.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
@@ -44,14 +44,14 @@ def dedup_lines(docs: DataFrame, window: int = 3, keep: tuple[str, ...] = ()) ->
     spans = d.select("doc_id", "k1", "k2", F.explode(F.flatten(F.transform(F.array(filled), windows))).alias("s")).select("doc_id", "k1", "k2", "s.*")
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "w")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = scratch.table(first)
-    later = spans.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "k1", "w").eqNullSafe(F.col("first")))
+    later = spans.join(first.hint("merge"), ["h1", "h2"]).where(~F.struct("doc_id", "k1", "w").eqNullSafe(F.col("first")))
     marked = scratch.table(later.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone")))
 
     def rest(ls):
         stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
         return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
 
-    return d.join(marked, ["k1", "k2"], "left").select(
+    return d.join(marked.hint("merge"), ["k1", "k2"], "left").select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), rest)[0]).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
