@@ -17,6 +17,24 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The normalizer and the pre-tokenizer of a lower-case word tokenizer, under which WORD_END and capitals don't matter.
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: A Latin letter (not U+0130, whose small form ends in a mark) and an ASCII sign (not the apostrophe): no word goes on
+#: from one to the other, nor do they compose.
+WORD_END = r"([a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([!-&(-/:-@\[-`{-~])"
+#: A capital before what may be a combining mark, with which its small letter may compose where it doesn't.
+MARKED_CAPITAL = r"[A-Z][^\x00-\x{2ff}\x{2000}-\x{206f}]"
+
+
 class ChunkEncoder:
     """Texts -> ids of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
@@ -35,9 +53,11 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        config = json.loads(self.tokenizer.to_str())
+        pre = config["pre_tokenizer"]
         steps = pre.get("pretokenizers", [pre])
         self.drops_space = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps)
+        self.words = (config["normalizer"], pre) == WORDS and all(t["special"] for t in config["added_tokens"])
         self.most, self.cache = most, {}
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
@@ -75,7 +95,9 @@ class ChunkEncoder:
 
 
 class BatchEncoder(ChunkEncoder):
-    """The same ids by way of Arrow: cheaper for batches of some million characters, for some more memory."""
+    """The same ids by way of Arrow: cheaper for batches of some million characters, for some more memory. For tokenizers
+    of WORDS a text is also cut at line ends and behind words, and put in lower case, so that a word in other company is
+    not another chunk."""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # the first and the last chunk have other neighbours than the rest: they are encoded by themselves
@@ -86,7 +108,7 @@ class BatchEncoder(ChunkEncoder):
             lasts.append("" if i < 0 else t[j:])
             middles.append(t[i + 1 : j] if i < j else None)
         # Arrow splits the rest, numbers its distinct chunks, and joins their ids: Python handles distinct chunks only
-        split = pc.split_pattern(pa.array(middles, "large_string"), " ")
+        split = pc.split_pattern(self.plain(pa.array(middles, "large_string")), " ")
         chunks = split.flatten().dictionary_encode()
         found = self.lookup(chunks.dictionary.to_pylist())
         parts = pa.ListArray.from_arrays(split.offsets, pa.array(found, "large_binary").take(chunks.indices))
@@ -99,6 +121,13 @@ class BatchEncoder(ChunkEncoder):
                 out[i] = data
         return out
 
+    def plain(self, texts: pa.Array) -> pa.Array:
+        """Texts with the same ids and fewer distinct chunks."""
+        if not self.words:
+            return texts
+        small = pc.if_else(pc.match_substring_regex(texts, MARKED_CAPITAL), texts, pc.ascii_lower(texts))
+        return pc.replace_substring(pc.replace_substring_regex(small, WORD_END, r"\1 \2"), "\n", " ")
+
     def lookup(self, chunks: list[str]) -> list[bytes | None]:
         """The ids of each distinct chunk with a space before it; None where it must not be cut off."""
         cache = self.cache

@@ -278,6 +278,20 @@ def test_batch_encoder_gives_the_ids_of_whole_texts():
             assert e.encode([]) == []
 
 
+def test_a_word_in_other_company_is_not_another_chunk():
+    name = "word_bpe_49k.json"
+    e = tokens.BatchEncoder(tokens.public_tokenizer(name))
+    text = "x word Word, WORD. word) word\nword; woRD!\nword: Ärger, Ärger. x"
+    assert e.encode([text]) == e.encode_whole([text])
+    assert set(e.cache) <= {"word", "Ärger", *",.);!:"}
+    rng = random.Random(6)
+    # marks that compose with one case of a letter only, letters whose small form ends in a mark, contractions, signs
+    parts = [*"hHwJIsSéÉİıſŉ×K中1 \n\t.,(<='’\u0331\u030c\u0307\u0323\u20d0\u0345", " ", " ", "'S", "'re", "<|endoftext|>", "H\u20d0\u0331"]
+    texts = ["x " + "".join(rng.choices(parts, k=rng.randint(0, 16))) + " x" for _ in range(20_000)]
+    assert e.encode(texts) == e.encode_whole(texts)
+    assert not tokens.BatchEncoder(tokens.public_tokenizer("byte_bpe_50k.json")).words
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 0), (1, 5), (500, 20), (1000, 10**9), (300, 2**40)):
