@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pathloom.operators import gram
+from pathloom import queries
+from pathloom.operators import features, gram
 
 POINTS = 32
 
@@ -24,3 +25,13 @@ def test_pairs_held_at_once(spark):
     assert len(rows) == 3000
     for r in rows[::500]:
         assert np.isclose(r.k, np.dot(r.path[1], r.back[2]))
+
+
+def test_paths_on_a_tape_at_once(spark):
+    def fn(x):
+        assert x.shape[0] <= features.TAPED
+        return (x * x).sum(axis=2).sum(axis=1)
+
+    rows = queries.vjp_query(fn, source=lambda s, _: many(s, 1500))(spark, "").collect()
+    paths = {r.key: np.array(r.path).ravel() for r in many(spark, 1500).collect()}
+    assert len(rows) == 1500 and all(np.allclose(r.gradient, 2 * paths[r.key], atol=1e-6) for r in rows)
